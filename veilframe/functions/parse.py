@@ -22,8 +22,8 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """Null or nothing but blanks."""
-    return F.coalesce(strip(c.cast("string")) == "", F.lit(True))
+    """Null or nothing but blanks; looks no further than the first other character."""
+    return ~F.coalesce(c.cast("string").rlike(r"\S"), F.lit(False))
 
 
 def blank_to_empty(c: Column) -> Column:
@@ -86,3 +86,13 @@ def has_any(name: str, words: list[str]) -> bool:
     """Whether the lower-cased name contains one of the words."""
     lowered = name.lower()
     return any(word in lowered for word in words)
+
+
+def sql_text(text: str) -> str:
+    """A text as a Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    """A column name as a Spark SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"

@@ -49,10 +49,27 @@ def _pattern_column(name: str) -> str:
     return f"m_{name}"
 
 
-def _value_tests(value: Column) -> dict[str, Column]:
-    tests = {
-        _pattern_column(name): value.rlike("(?iU)" + pattern) for name, pattern, _, _ in K.VALUE_PATTERNS
-    }
+# A cheap test every match must pass, tried before the pattern itself.
+_NEEDS = {
+    "email": "contains(value, '@')",
+    "uuid": "length(value) BETWEEN 36 AND 38",
+    "ssn": "length(value) BETWEEN 9 AND 13",
+    "credit_card": "length(value) BETWEEN 16 AND 21",
+    "date_iso": "contains(value, '-')",
+    "timestamp": "contains(value, ':')",
+    "gps": "contains(value, ',')",
+    "url": "contains(value, '://')",
+    "ip_address": "contains(value, '.')",
+    "password_hash": "(length(value) >= 32 OR startswith(value, '$'))",
+}
+
+
+def _value_tests() -> dict[str, Column]:
+    value = F.col("value")
+    tests = {}
+    for name, pattern, _, _ in K.VALUE_PATTERNS:
+        matched = f"value RLIKE {parse.sql_text('(?iU)' + pattern)}"
+        tests[_pattern_column(name)] = F.expr(f"{_NEEDS[name]} AND {matched}" if name in _NEEDS else matched)
     number = parse.safe_numeric(value)
     tests["m_float"] = parse.float_text(value).isNotNull()
     tests["m_number"] = number.isNotNull()
@@ -73,14 +90,13 @@ def profile_columns(
     the first 50 values of each column) instead of the whole table.
     """
     columns = columns or df.columns
-    sums = [*_value_tests(F.lit("")).keys()]
+    tests = _value_tests()
     if sample_by:
         head = df.orderBy(*sample_by).limit(K.CLASSIFY_SAMPLE_ROWS)
         ordered = Window.partitionBy("column").orderBy(*[F.col(f"_k{i}") for i in range(len(sample_by))])
         keyed = head.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(sample_by)], *columns)
         values = long_form(keyed, columns, [f"_k{i}" for i in range(len(sample_by))])
         values = values.withColumn("_in", F.row_number().over(ordered) <= K.PATTERN_SAMPLE_VALUES)
-        tests = _value_tests(F.col("value"))
         stats = values.groupBy("column").agg(
             F.count(F.lit(1)).alias("n"),
             F.countDistinct("value").alias("distinct"),
@@ -93,7 +109,6 @@ def profile_columns(
         )
     elif distinct == "exact":
         counted = long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-        tests = _value_tests(F.col("value"))
         stats = counted.groupBy("column").agg(
             F.sum("c").alias("n"),
             F.count(F.lit(1)).alias("distinct"),
@@ -101,7 +116,6 @@ def profile_columns(
         )
         stats = stats.withColumn("pattern_n", F.col("n")).withColumn("pattern_distinct", F.col("distinct"))
     elif distinct == "approx":
-        tests = _value_tests(F.col("value"))
         stats = long_form(df, columns).groupBy("column").agg(
             F.count(F.lit(1)).alias("n"),
             F.approx_count_distinct("value", 0.01).alias("distinct"),
@@ -111,113 +125,88 @@ def profile_columns(
     else:
         raise ValueError("distinct is 'exact' or 'approx'")
     names = _names_table(df.sparkSession, columns)
-    counts = ["n", "distinct", "pattern_n", "pattern_distinct", *sums]
+    counts = ["n", "distinct", "pattern_n", "pattern_distinct", *tests]
     return names.join(stats, "column", "left").fillna(0, subset=counts)
 
 
-def _signal(kind, sensitivity, confidence: Column, reasoning: Column) -> Column:
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        as_column(kind).alias("type"),
-        as_column(sensitivity).alias("sensitivity"),
-        confidence.cast("double").alias("confidence"),
-        reasoning.alias("reasoning"),
+def _signal(kind: str, sensitivity: str, confidence: str, reasoning: str) -> str:
+    return (
+        f"named_struct('type', {kind}, 'sensitivity', {sensitivity}, "
+        f"'confidence', CAST({confidence} AS DOUBLE), 'reasoning', {reasoning})"
     )
 
 
-def name_signal() -> Column:
-    """What the column name says; null when it says nothing."""
-    text = F.concat(F.lit("Column name matches "), F.col("name_type"), F.lit(" pattern"))
-    return F.when(
-        F.col("name_type").isNotNull(),
-        _signal(F.col("name_type"), F.col("name_sensitivity"), F.lit(K.NAME_CONFIDENCE), text),
-    )
-
+def with_signals(profile: DataFrame) -> DataFrame:
+    """Add what each source says about a column; null where it is silent.
 
-def pattern_signal() -> Column:
-    """What the values say: best pattern, then numeric share, then few distinct values."""
-    n = F.col("pattern_n")
-    candidates = F.array(
-        *[
-            F.struct(
-                (F.col(_pattern_column(name)) / n).alias("share"),
-                F.lit(-rank).alias("rank"),
-                F.lit(name).alias("name"),
-                F.lit(kind).alias("type"),
-                F.lit(sensitivity).alias("sensitivity"),
-            )
-            for rank, (name, _, kind, sensitivity) in enumerate(K.VALUE_PATTERNS)
-        ]
+    by_name:       the column name
+    by_values:     best value pattern, else numeric share, else few distinct values
+    by_uniqueness: share of distinct values
+    """
+    candidates = ", ".join(
+        f"named_struct('share', {_pattern_column(name)} / pattern_n, 'rank', {-rank}, 'name', '{name}', "
+        f"'type', '{kind}', 'sensitivity', '{sensitivity}')"
+        for rank, (name, _, kind, sensitivity) in enumerate(K.VALUE_PATTERNS)
     )
-    best = F.array_max(F.filter(candidates, lambda s: s["share"] > K.PATTERN_SHARE))
-    matched = _signal(
-        best["type"],
-        best["sensitivity"],
-        best["share"],
-        F.concat(F.lit("Matches "), best["name"], F.lit(" pattern")),
+    # no values, no candidates: the shares are only formed for columns that have some
+    best = profile.selectExpr(
+        "*",
+        f"CASE WHEN pattern_n > 0 THEN array_max(filter(array({candidates}), s -> s.share > {K.PATTERN_SHARE})) END "
+        "AS _best",
+        "CASE WHEN n > 0 THEN distinct / n END AS _share",
     )
-    numeric = _signal("numeric", "low", F.lit(0.7), F.lit("Values are primarily numeric"))
-    few = _signal("categorical", "low", F.lit(0.6), F.lit("Limited unique values suggest categorical"))
-    return (
-        F.when(n == 0, None)
-        .when(best.isNotNull(), matched)
-        .when(F.col("m_float") / n > K.PATTERN_SHARE, numeric)
-        .when(F.col("pattern_distinct") / n < 0.5, few)
+    by_name = _signal(
+        "name_type", "name_sensitivity", f"{K.NAME_CONFIDENCE}", "concat('Column name matches ', name_type, ' pattern')"
+    )
+    matched = _signal(
+        "_best.type", "_best.sensitivity", "_best.share", "concat('Matches ', _best.name, ' pattern')"
     )
+    numeric = _signal("'numeric'", "'low'", "0.7", "'Values are primarily numeric'")
+    few = _signal("'categorical'", "'low'", "0.6", "'Limited unique values suggest categorical'")
 
+    def unique(kind: str, sensitivity: str, confidence: str, label: str) -> str:
+        shown = f"concat('{label} uniqueness ', format_string('(%.2f%%)', _share * 100D))"
+        return _signal(f"'{kind}'", f"'{sensitivity}'", confidence, shown)
 
-def uniqueness_signal() -> Column:
-    """What the share of distinct values says."""
-    share = F.col("distinct") / F.nullif(F.col("n"), F.lit(0))
-    shown = F.format_string("(%.2f%%)", share * 100.0)
-    return (
-        F.when(share > 0.95, _signal("identifier", "high", F.lit(0.7), F.concat(F.lit("Very high uniqueness "), shown)))
-        .when(share > 0.7, _signal("quasi_identifier", "moderate", F.lit(0.6), F.concat(F.lit("High uniqueness "), shown)))
-        .when(share < 0.3, _signal("categorical", "low", F.lit(0.6), F.concat(F.lit("Low uniqueness "), shown)))
-    )
+    return best.selectExpr(
+        "*",
+        f"CASE WHEN name_type IS NOT NULL THEN {by_name} END AS by_name",
+        f"CASE WHEN pattern_n = 0 THEN NULL WHEN _best IS NOT NULL THEN {matched} "
+        f"WHEN m_float / pattern_n > {K.PATTERN_SHARE} THEN {numeric} "
+        f"WHEN pattern_distinct / pattern_n < 0.5 THEN {few} END AS by_values",
+        f"CASE WHEN _share > 0.95 THEN {unique('identifier', 'high', '0.7', 'Very high')} "
+        f"WHEN _share > 0.7 THEN {unique('quasi_identifier', 'moderate', '0.6', 'High')} "
+        f"WHEN _share < 0.3 THEN {unique('categorical', 'low', '0.6', 'Low')} END AS by_uniqueness",
+    ).drop("_best", "_share")
 
 
-def recommended_mechanism(kind: Column, sensitivity: Column) -> Column:
-    """Mechanism by type; critical columns are always redacted."""
-    label = F.when(sensitivity == "critical", "redaction")
-    for name, mechanism in K.RECOMMENDED.items():
-        label = label.when(kind == name, mechanism)
-    return label.otherwise("suppression")
+def recommended_mechanism() -> str:
+    """SQL: mechanism by type; critical columns are always redacted."""
+    by_type = " ".join(f"WHEN '{kind}' THEN '{mechanism}'" for kind, mechanism in K.RECOMMENDED.items())
+    return f"CASE WHEN sensitivity = 'critical' THEN 'redaction' ELSE CASE type {by_type} ELSE 'suppression' END END"
 
 
 def combine_signals(profile: DataFrame) -> DataFrame:
     """The strongest signal per column: name x1.2, values x1.0, uniqueness x0.8."""
-    signals = [(name_signal(), K.NAME_WEIGHT), (pattern_signal(), 1.0), (uniqueness_signal(), K.STATISTICS_WEIGHT)]
-    weighted = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    s.isNotNull(),
-                    F.struct((s["confidence"] * w).alias("weight"), F.lit(-rank).alias("rank"), s.alias("signal")),
-                )
-                for rank, (s, w) in enumerate(signals)
-            ]
-        )
-    )
-    best = F.array_max(weighted)
-    default = _signal("generic", "low", F.lit(0.5), F.lit("Default classification"))
-    none = _signal("generic", "low", F.lit(0.0), F.lit("No data available"))
-    chosen = profile.select(
-        "*",
-        F.when(F.col("n") == 0, none).when(best.isNotNull(), best["signal"]).otherwise(default).alias("_s"),
-        F.when((F.col("n") > 0) & best.isNotNull(), F.least(best["weight"], F.lit(1.0))).alias("_w"),
+    weights = [("by_name", K.NAME_WEIGHT), ("by_values", 1.0), ("by_uniqueness", K.STATISTICS_WEIGHT)]
+    weighted = ", ".join(
+        f"CASE WHEN {signal} IS NOT NULL THEN named_struct('weight', {signal}.confidence * {weight}D, "
+        f"'rank', {-rank}, 'signal', {signal}) END"
+        for rank, (signal, weight) in enumerate(weights)
     )
-    mechanism = F.when(F.col("n") == 0, "suppression").otherwise(
-        recommended_mechanism(F.col("_s.type"), F.col("_s.sensitivity"))
+    silent = _signal("'generic'", "'low'", "0.5", "'Default classification'")
+    empty = _signal("'generic'", "'low'", "0.0", "'No data available'")
+    chosen = with_signals(profile).selectExpr("*", f"array_max(array({weighted})) AS _win")
+    decided = chosen.selectExpr(
+        "*", f"CASE WHEN n = 0 THEN {empty} WHEN _win IS NULL THEN {silent} ELSE _win.signal END AS _s"
+    ).selectExpr(
+        "* EXCEPT (_s, _win, by_name, by_values, by_uniqueness)",
+        "_s.type AS type",
+        "_s.sensitivity AS sensitivity",
+        "CASE WHEN n = 0 OR _win IS NULL THEN _s.confidence ELSE least(_win.weight, 1D) END AS confidence",
+        "_s.reasoning AS reasoning",
     )
-    return chosen.select(
-        "*",
-        F.col("_s.type").alias("type"),
-        F.col("_s.sensitivity").alias("sensitivity"),
-        F.coalesce("_w", F.col("_s.confidence")).alias("confidence"),
-        mechanism.alias("mechanism"),
-        F.col("_s.reasoning").alias("reasoning"),
-    ).drop("_s", "_w")
+    return decided.selectExpr("*", f"CASE WHEN n = 0 THEN 'suppression' ELSE {recommended_mechanism()} END AS mechanism")
 
 
 def classify_columns(
@@ -231,10 +220,10 @@ def classify_columns(
     return combined.select("column", "type", "sensitivity", "confidence", "mechanism", "reasoning")
 
 
-def signal_table(profile: DataFrame, signal: Column) -> DataFrame:
-    """One signal alone; generic with confidence 0 where it is silent."""
-    silent = _signal("generic", "low", F.lit(0.0), F.lit(""))
-    chosen = profile.select("column", F.coalesce(signal, silent).alias("s"))
+def signal_table(profile: DataFrame, signal: str) -> DataFrame:
+    """One signal alone (a column of ``with_signals``); generic with confidence 0 where it is silent."""
+    silent = _signal("'generic'", "'low'", "0.0", "''")
+    chosen = with_signals(profile).selectExpr("column", f"coalesce({signal}, {silent}) AS s")
     return chosen.select("column", "s.type", "s.sensitivity", "s.confidence")
 
 

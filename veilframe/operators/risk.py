@@ -24,10 +24,10 @@ _FRACTIONAL = {"float", "double"}
 
 @dataclass
 class Hit:
-    """One rule on one column: condition, weight and driver text."""
+    """One rule on one column: SQL condition, weight and driver text."""
 
     check: str
-    condition: Column
+    condition: str
     weight: int
     driver: str
 
@@ -40,28 +40,37 @@ def _kind(data_type: str) -> str:
     return "text"
 
 
-def is_anonymized(text: Column) -> Column:
-    """Whether a value already looks like a hash, marker or range."""
-    return (
-        text.rlike(r"(?iU)^[a-f0-9]{32,}$")
-        | text.endswith("...")
-        | text.isin(*K.ANONYMIZED_MARKERS)
-        | text.rlike(r"(?U)^\d+[k]?[-–]\d+[k]?$")
-    )
+def _rlike(text: str, pattern: str) -> str:
+    return f"{text} RLIKE {parse.sql_text(pattern)}"
+
+
+def _contains(text: str, part: str) -> str:
+    return f"contains({text}, {parse.sql_text(part)})"
 
 
-def _countable(c: Column, kind: str) -> Column:
-    """The value is present and not anonymized already."""
-    if kind != "text":
-        return c.isNotNull()
-    text = c.cast("string")
-    return ~parse.is_blank(text) & ~is_anonymized(text)
+# A cheap test every match must pass, tried before the pattern itself.
+_NEEDS = {
+    r"^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$": "-",
+    r"^[\w\.-]+@[\w\.-]+\.\w+$": "@",
+    r"^\d+\.\d{4,}$": ".",
+    r"^\d{4}-\d{2}-\d{2}.\d{2}:\d{2}:\d{2}": ":",
+    r"^-?\d+\.\d{4,},\s*-?\d+\.\d{4,}$": ",",
+}
 
 
-def _value_rule(text: Column, pattern: str, ignore_case: bool) -> Column:
+def anonymized_sql(text: str) -> str:
+    """Condition: the value already looks like a hash, marker or range."""
+    markers = ", ".join(parse.sql_text(m) for m in K.ANONYMIZED_MARKERS)
+    hashed = f"length({text}) >= 32 AND {_rlike(text, '(?i)^[a-f0-9]{32,}$')}"
+    dashed = f"({_contains(text, '-')} OR {_contains(text, '–')}) AND " + _rlike(text, r"(?U)^\d+[k]?[-–]\d+[k]?$")
+    return f"({hashed} OR endswith({text}, '...') OR {text} IN ({markers}) OR {dashed})"
+
+
+def _value_rule(text: str, pattern: str, ignore_case: bool) -> str:
     if pattern == "long":
-        return (F.length(text) > 20) & ~text.rlike(r"(?iU)^[a-f0-9]+$")
-    return text.rlike(("(?iU)" if ignore_case else "(?U)") + pattern)
+        return f"length({text}) > 20 AND NOT ({_rlike(text, '(?i)^[a-f0-9]+$')})"
+    matched = _rlike(text, ("(?iU)" if ignore_case else "(?U)") + pattern)
+    return f"{_contains(text, _NEEDS[pattern])} AND {matched}" if pattern in _NEEDS else matched
 
 
 def _value_rule_possible(pattern: str, kind: str) -> bool:
@@ -73,84 +82,113 @@ def _value_rule_possible(pattern: str, kind: str) -> bool:
     return True
 
 
-def column_hits(name: str, data_type: str) -> list[Hit]:
-    """The rules that can fire for one column.
+def _open_rules(field: str) -> list[tuple[str, str, int]]:
+    """Sensitivity rules the field name does not decide by itself."""
+    return [rule for rule in K.SENSITIVE_RULES if not re.search(rule[0], field + " ", re.I)]
+
+
+def _any_word(words: str, field: str) -> str:
+    """Condition: a sensitive word may occur; one pass for all rules.
+
+    ASCII word ends admit every match the exact rules, with word ends of any
+    script, can make; the long s, which equals s when case is ignored, does too.
+    """
+    bodies = [p.removeprefix(r"\b").removesuffix(r"\b").strip("()") for p, _, _ in _open_rules(field)]
+    return _rlike(words, r"\b(" + "|".join(bodies) + r")\b") + f" OR {_contains(words, 'ſ')}"
+
+
+@dataclass
+class Scan:
+    """Rows prepared for scoring and the rules that apply to them.
+
+    The frame carries one column per scanned column with the text that counts
+    (null when blank or anonymized already), one with its lower-case ``field
+    value`` form and one telling whether any sensitive word occurs in it, so
+    every rule reads a finished value instead of repeating the tests before it.
+    """
+
+    df: DataFrame
+    hits: list[Hit]
+
+
+def _types(df: DataFrame, columns: list[str] | None) -> list[tuple[str, str]]:
+    types = dict(df.dtypes)
+    return [(name, types[name]) for name in (columns or df.columns)]
+
+
+def scan(df: DataFrame, columns: list[str] | None = None) -> Scan:
+    """Prepare a table: adds ``filled`` and the working columns."""
+    typed = [(i, name, _kind(t)) for i, (name, t) in enumerate(_types(df, columns))]
+    texts = [(i, name) for i, name, kind in typed if kind == "text"]
+    cast = {i: f"CAST({parse.sql_name(name)} AS STRING)" for i, name, _ in typed}
+
+    known = df.selectExpr("*", *[f"coalesce({_rlike(cast[i], chr(92) + 'S')}, false) AS _p{i}" for i, _ in texts])
+    present = [
+        f"_p{i}" if kind == "text" else f"{parse.sql_name(name)} IS NOT NULL" for i, name, kind in typed
+    ]
+    filled = " + ".join(f"CAST({p} AS INT)" for p in present)
+    live = [
+        f"CASE WHEN _p{i} AND NOT {anonymized_sql(cast[i])} THEN {cast[i]} END" if kind == "text" else cast[i]
+        for i, _, kind in typed
+    ]
+    lived = known.selectExpr("*", f"{filled} AS filled", *[f"{live[i]} AS _l{i}" for i, _, _ in typed])
+    lowered = lived.selectExpr(
+        "*", *[f"concat({parse.sql_text(name.lower() + ' ')}, lower(_l{i})) AS _w{i}" for i, name in texts]
+    )
+    flagged = lowered.selectExpr("*", *[f"{_any_word(f'_w{i}', name.lower())} AS _a{i}" for i, name in texts])
+    return Scan(flagged, [hit for i, name, kind in typed for hit in column_hits(i, name, kind)])
+
+
+def column_hits(i: int, name: str, kind: str) -> list[Hit]:
+    """The rules that can fire for scanned column number ``i``.
 
     Rules that depend on the column name alone are decided here, once, and
     rules that the column's type rules out are left out of the plan.
     """
-    kind = _kind(data_type)
-    c = F.col(f"`{name}`")
-    text = c.cast("string")
-    field = name.lower()
-    present = _countable(c, kind)
+    field, live, present = name.lower(), f"_l{i}", f"_l{i} IS NOT NULL"
     hits = []
     for pattern, ignore_case, weight, driver in K.UNIQUENESS_RULES:
         if _value_rule_possible(pattern, kind):
-            hits.append(Hit("uniqueness", present & _value_rule(text, pattern, ignore_case), weight, driver))
+            hits.append(Hit("uniqueness", _value_rule(live, pattern, ignore_case), weight, driver))
 
     if re.search(K.NAME_FIELD_PATTERN, field, re.I):
         hits.append(Hit("sensitivity", present, K.NAME_FIELD_WEIGHT, K.NAME_FIELD_DRIVER))
     elif field.strip() == "name":
         hits.append(Hit("sensitivity", present, K.PLAIN_NAME_WEIGHT, K.PLAIN_NAME_DRIVER))
-    by_value = [
-        (pattern, driver, weight)
-        for pattern, driver, weight in K.SENSITIVE_RULES
-        if not re.search(pattern, field + " ", re.I)
-    ]
-    combined = F.concat(F.lit(field + " "), F.lower(text))
-    # one scan with all words first; the single rules only run on texts with a hit
-    any_word = combined.rlike("(?iU)" + "|".join(p for p, _, _ in by_value)) if by_value else None
-    for pattern, driver, weight in K.SENSITIVE_RULES:
-        if re.search(pattern, field + " ", re.I):
+    open_rules = _open_rules(field)
+    for rule in K.SENSITIVE_RULES:
+        pattern, driver, weight = rule
+        if rule not in open_rules:
             hits.append(Hit("sensitivity", present, weight, driver))
         elif kind == "text":
-            hits.append(
-                Hit("sensitivity", present & any_word & combined.rlike("(?iU)" + pattern), weight, driver)
-            )
+            hits.append(Hit("sensitivity", f"_a{i} AND {_rlike(f'_w{i}', '(?iU)' + pattern)}", weight, driver))
     if parse.has_any(field, K.ID_FIELD_WORDS):
         if parse.has_any(field, K.SEQUENCE_FIELD_WORDS):
             hits.append(Hit("sensitivity", present, K.SEQUENCE_WEIGHT, K.SEQUENCE_DRIVER))
         else:
             hits.append(Hit("sensitivity", present, K.DIRECT_ID_WEIGHT, K.DIRECT_ID_DRIVER))
     if kind == "integral":
-        hits.append(Hit("sensitivity", present & c.between(1, 119), K.AGE_VALUE_WEIGHT, K.AGE_VALUE_DRIVER))
+        small = f"{parse.sql_name(name)} BETWEEN 1 AND 119"
+        hits.append(Hit("sensitivity", small, K.AGE_VALUE_WEIGHT, K.AGE_VALUE_DRIVER))
     elif kind == "text":
-        small = text.rlike(r"^[0-9]{1,3}$") & text.try_cast("int").between(1, 119)
-        hits.append(Hit("sensitivity", present & small, K.AGE_VALUE_WEIGHT, K.AGE_VALUE_DRIVER))
+        small = _rlike(live, "^([1-9]|0[1-9]|[1-9][0-9]|00[1-9]|0[1-9][0-9]|1[01][0-9])$")
+        hits.append(Hit("sensitivity", f"length({live}) <= 3 AND {small}", K.AGE_VALUE_WEIGHT, K.AGE_VALUE_DRIVER))
 
     for pattern, weight, driver in K.PRECISION_RULES:
         if _value_rule_possible(pattern, kind):
-            hits.append(Hit("precision", present & _value_rule(text, pattern, False), weight, driver))
+            hits.append(Hit("precision", _value_rule(live, pattern, False), weight, driver))
     return hits
 
 
-def _types(df: DataFrame, columns: list[str] | None) -> list[tuple[str, str]]:
-    types = dict(df.dtypes)
-    return [(name, types[name]) for name in (columns or df.columns)]
-
-
-def _all_hits(df: DataFrame, columns: list[str] | None) -> list[Hit]:
-    return [hit for name, data_type in _types(df, columns) for hit in column_hits(name, data_type)]
-
-
 def survival(hits: list[Hit]) -> Column:
     """Product of (1 - weight/100) over the hits that fire."""
-    product = F.lit(1.0)
-    for hit in hits:
-        left = 1.0 - hit.weight / 100.0
-        product = product * F.when(hit.condition, F.lit(left)).otherwise(F.lit(1.0))
-    return product
+    factors = [f"CASE WHEN {h.condition} THEN {1.0 - h.weight / 100.0}D ELSE 1D END" for h in hits]
+    return F.expr(" * ".join(["1D", *factors]))
 
 
-def filled_values(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Number of values in a record that are neither null nor blank."""
-    total = F.lit(0)
-    for name, data_type in _types(df, columns):
-        c = F.col(f"`{name}`")
-        present = c.isNotNull() if _kind(data_type) != "text" else ~parse.is_blank(c)
-        total = total + present.cast("int")
-    return total
+def is_anonymized(name: str) -> Column:
+    """Whether a column's value already looks like a hash, marker or range."""
+    return F.expr(anonymized_sql(f"CAST({parse.sql_name(name)} AS STRING)"))
 
 
 def combination_risk(filled: Column) -> Column:
@@ -182,29 +220,31 @@ def noisy_or(factors: Column) -> Column:
 
 def score_records(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add the four check results and ``risk`` to every record."""
-    hits = _all_hits(df, columns)
+    scanned = scan(df, columns)
 
     def left(check: str) -> Column:
-        return survival([hit for hit in hits if hit.check == check])
+        return survival([hit for hit in scanned.hits if hit.check == check])
 
-    scored = df.select(
-        "*",
+    originals = [F.col(f"`{c}`") for c in df.columns]
+    combination = combination_risk(F.col("filled"))
+    scored = scanned.df.select(
+        *originals,
+        "filled",
         left("uniqueness").alias("_u"),
         left("sensitivity").alias("_s"),
         left("precision").alias("_p"),
-        filled_values(df, columns).alias("filled"),
+        combination.alias("combination_risk"),
     )
-    combination = combination_risk(F.col("filled"))
-    risk = (1.0 - F.col("_u") * F.col("_s") * F.col("_p") * (1.0 - combination / 100.0)) * 100.0
+    left_over = F.col("_u") * F.col("_s") * F.col("_p") * (1.0 - F.col("combination_risk") / 100.0)
     return scored.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *originals,
         "filled",
         ((1.0 - F.col("_u")) * 100.0).alias("uniqueness_risk"),
         ((1.0 - F.col("_s")) * 100.0).alias("sensitivity_risk"),
-        combination.alias("combination_risk"),
+        "combination_risk",
         ((1.0 - F.col("_p")) * 100.0).alias("precision_risk"),
         F.when(F.col("filled") == 0, F.lit(K.EMPTY_RECORD_RISK))
-        .otherwise(F.least(F.lit(100.0), risk))
+        .otherwise(F.least(F.lit(100.0), (1.0 - left_over) * 100.0))
         .alias("risk"),
     )
 
@@ -263,15 +303,16 @@ def group_risk(df: DataFrame, group: str, columns: list[str] | None = None) -> D
     )
 
 
-def record_drivers(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Array of driver texts of a record, in the order the checks find them."""
-    hits = _all_hits(df, columns)
+def record_drivers(scanned: Scan) -> Column:
+    """Array of driver texts of a scanned record, in the order the checks find them."""
 
     def found(check: str) -> Column:
-        texts = [F.when(h.condition, F.lit(h.driver)) for h in hits if h.check == check]
-        return F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
+        texts = [
+            f"CASE WHEN {h.condition} THEN {parse.sql_text(h.driver)} END" for h in scanned.hits if h.check == check
+        ]
+        return F.expr(f"array_compact(array({', '.join(texts)}))") if texts else F.array().cast("array<string>")
 
-    filled = filled_values(df, columns)
+    filled = F.col("filled")
     combination = F.array_compact(F.array(_combination_driver(filled)))
     drivers = F.concat(
         found("uniqueness"), F.array_distinct(found("sensitivity")), combination, found("precision")
@@ -283,9 +324,11 @@ def top_drivers(
     df: DataFrame, order_by: list[str], columns: list[str] | None = None, limit: int = 5
 ) -> DataFrame:
     """The most frequent drivers; ties go to the driver that appears first."""
-    found = df.select(*order_by, record_drivers(df, columns).alias("_drivers"))
-    rows = found.select(*order_by, F.posexplode("_drivers").alias("_pos", "driver"))
-    counted = rows.groupBy("driver").agg(
+    scanned = scan(df, columns)
+    found = scanned.df.select(*order_by, record_drivers(scanned).alias("_drivers"))
+    # the outer form: an inner explode would push a filter that scores every record twice
+    rows = found.select(*order_by, F.posexplode_outer("_drivers").alias("_pos", "driver"))
+    counted = rows.where(F.col("driver").isNotNull()).groupBy("driver").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct(*order_by, "_pos")).alias("_first"),
     )
@@ -300,7 +343,7 @@ def anonymized_share(df: DataFrame, columns: list[str] | None = None) -> DataFra
         text = F.col(f"`{name}`").cast("string")
         present = ~parse.is_blank(text)
         measures.append(F.count_if(present).alias(f"p_{name}"))
-        measures.append(F.count_if(present & is_anonymized(text)).alias(f"a_{name}"))
+        measures.append(F.count_if(present & is_anonymized(name)).alias(f"a_{name}"))
     wide = df.agg(*measures)
     rows = F.array(
         *[

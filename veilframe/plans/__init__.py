@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import transforms  # noqa: F401
+from . import privacy, risks, transforms  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

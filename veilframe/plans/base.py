@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
+from ..session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,8 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # rotation windows, budget clocks and day partitions are UTC
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            tune(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -59,7 +59,7 @@ DEMOGRAPHIC = [
     "concat('State ', CAST(c_nationkey AS STRING)) AS state",
     "concat('Place ', CAST((c_custkey*13)%97 AS STRING)) AS district",
     "CASE WHEN c_custkey%2 = 0 THEN 'urban' ELSE 'rural' END AS area_type",
-    "CAST(abs(c_acctbal) * 25 AS BIGINT) AS monthly_income",
+    "CAST(floor(abs(c_acctbal) * 25) AS BIGINT) AS monthly_income",
     "CAST(1 + c_custkey%12 AS INT) AS household_size",
     "CAST(c_custkey%700 AS DOUBLE) / CAST(10 AS DOUBLE) AS land_owned_acres",
     "CASE WHEN c_custkey%2 = 0 THEN concat(lpad(CAST((c_custkey*7919)%10000 AS STRING),4,'0'), ' ', "

@@ -8,6 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Wide projections compile to methods beyond the 8000 bytecodes the JVM is willing to
+# optimise; below this limit Spark splits them instead of fusing the whole stage.
+JIT_LIMIT = "8000"
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings the operators count on, for sessions built elsewhere.
+
+    UTC for rotation windows, budget clocks and day partitions.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
+
+
 def build_session(app: str = "veilframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator here relies on.
 
@@ -19,10 +33,12 @@ def build_session(app: str = "veilframe", master: str | None = None, **conf: str
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": JIT_LIMIT,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

@@ -11,6 +11,8 @@ from .. import constants as K
 from ..operators.json_rewrite import infer_schema
 
 _NAME = re.compile(r"^[a-zA-Z0-9_]+$")
+# the writers' default stops at milliseconds
+_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def nulls_to_empty(df: DataFrame) -> DataFrame:
@@ -101,10 +103,16 @@ def write_audit_log(entries: DataFrame, path: str, file_format: str = "json") ->
     """
     ordered = entries.orderBy(F.desc("timestamp"), F.desc("query_id"))
     if file_format == "json":
-        ordered.write.mode("errorifexists").json(path)
+        ordered.write.mode("errorifexists").option("timestampFormat", _TIMESTAMP).json(path)
     elif file_format == "csv":
         flat = ordered.withColumn("mathematical_output", F.to_json("mathematical_output"))
-        flat.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+        (
+            flat.write.mode("errorifexists")
+            .option("header", True)
+            .option("escape", '"')
+            .option("timestampFormat", _TIMESTAMP)
+            .csv(path)
+        )
     else:
         raise ValueError("file_format is 'json' or 'csv'")
 
@@ -118,4 +126,4 @@ def audit_events(df: DataFrame) -> DataFrame:
 
 def write_audit_events(df: DataFrame, path: str) -> None:
     """Append events as JSON lines, one folder per day."""
-    audit_events(df).write.mode("append").partitionBy("dt").json(path)
+    audit_events(df).write.mode("append").partitionBy("dt").option("timestampFormat", _TIMESTAMP).json(path)

@@ -75,7 +75,7 @@ def bounded_laplace(value: Column, u: Column, scale: Column, lower: Column, uppe
     x = F.when(p < 0.5, scale * F.log(F.lit(2.0) * p)).otherwise(
         -scale * F.log(F.lit(2.0) * (F.lit(1.0) - p))
     )
-    return F.least(F.greatest(value + x, lower), upper)
+    return F.when(value.isNotNull(), F.least(F.greatest(value + x, lower), upper))
 
 
 def bounded_laplace_scale(epsilon: float, sensitivity: Column, width: Column) -> Column:

@@ -63,7 +63,7 @@ def pool_noise(c: Column, name: str, secret: str, key: Column) -> Column:
     if is_currency(name):
         return rounded + keyed.pick(K.CURRENCY_POOL, u)
     moved = F.greatest(F.lit(0).cast("bigint"), rounded + keyed.pick(K.INTEGER_POOL, u))
-    return F.when(c < 0, rounded).otherwise(moved)
+    return F.when(c < 0, rounded).when(c.isNotNull(), moved)
 
 
 def numeric_release(c: Column, name: str, secret: str, key: Column, affordable: bool = True) -> Column:

@@ -40,4 +40,4 @@ def equal_width(c: Column, low: Column, high: Column, buckets: int = 10) -> Colu
     width = (high - low) / F.lit(buckets)
     index = F.least(F.floor((c - low) / F.nullif(width, F.lit(0.0))), F.lit(buckets - 1))
     midpoint = F.bround(low + (index + F.lit(0.5)) * width, 2)
-    return F.when(low == high, c).otherwise(midpoint)
+    return F.when(low == high, c).when(c.isNotNull(), midpoint)

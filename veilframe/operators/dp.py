@@ -55,8 +55,9 @@ def effective_epsilon(query_type: str, degradation: float = 1.0) -> float:
 
 
 def clip(c: Column, lower: float, upper: float) -> Column:
-    """The value moved into [lower, upper]."""
-    return F.least(F.greatest(c.cast("double"), F.lit(float(lower))), F.lit(float(upper)))
+    """The value moved into [lower, upper]; unknown stays unknown."""
+    moved = F.least(F.greatest(c.cast("double"), F.lit(float(lower))), F.lit(float(upper)))
+    return F.when(c.isNotNull(), moved)
 
 
 def _statistics(c: Column, lower: float, upper: float) -> list[Column]:

@@ -252,8 +252,8 @@ def score_records(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def dataset_score(risk: Column) -> Column:
     """Aggregate: 0.4 * max + 0.6 * mean, rounded half to even, 0-100; 10 when empty."""
     blended = F.rint(F.lit(K.MAX_SHARE) * F.max(risk) + F.lit(K.MEAN_SHARE) * F.avg(risk))
-    bounded = F.least(F.lit(100.0), F.greatest(F.lit(0.0), blended))
-    return F.coalesce(bounded, F.lit(float(K.NO_DATA_RISK))).cast("int")
+    known = F.coalesce(blended, F.lit(float(K.NO_DATA_RISK)))
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), known)).cast("int")
 
 
 def risk_level(score: Column) -> Column:
@@ -397,10 +397,11 @@ def grouped_columns(metadata: DataFrame) -> DataFrame:
 
 
 def residual_score(anonymized_score: Column, coverage: Column) -> Column:
-    """Score after the discount for coverage, with its floor."""
+    """Score after the discount for coverage, with its floor; undiscounted without metadata."""
     discounted = anonymized_score * (1.0 - F.least(coverage, F.lit(1.0)) * K.COVERAGE_DISCOUNT)
     floor = F.greatest(F.lit(K.RISK_FLOOR), anonymized_score * K.RISK_FLOOR_SHARE)
-    return F.least(F.lit(100.0), F.rint(F.greatest(discounted, floor))).cast("int")
+    final = F.least(F.lit(100.0), F.rint(F.greatest(discounted, floor)))
+    return F.when(coverage.isNull(), anonymized_score).otherwise(final).cast("int")
 
 
 def residual_risk(anonymized: DataFrame, metadata: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -12,16 +12,27 @@ from .ordering import with_position
 
 
 def k_anonymize(
-    df: DataFrame, column: str, k: int, secret: str, key: str, p: float = K.TRUTH_PROBABILITY
+    df: DataFrame,
+    column: str,
+    k: int,
+    secret: str,
+    key: str,
+    p: float = K.TRUTH_PROBABILITY,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Keep values seen at least k times; answer the others by randomized response.
 
     The categories stay a table, numbered by global position, so a column may
-    have any number of distinct values. A rare value that loses its coin takes
-    the category number ``floor(u * n)``, which spreads evenly over that table.
+    have any number of distinct values. Only a rare value that loses its coin
+    changes: it takes the category number ``floor(u * n)``, which spreads
+    evenly over that table.
+
+    ``source`` may name an earlier frame with the same values of ``column``,
+    to count them without the work done on the other columns since.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    categories = with_position(counts, [column], "_index")
+    values = (source if source is not None else df).where(F.col(column).isNotNull())
+    counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    categories = with_position(counts, [column], "_target")
     rows, total, text_bytes = categories.agg(
         F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.sum(skew.text_size(F.col(column)))
     ).first()
@@ -29,32 +40,29 @@ def k_anonymize(
         return df
 
     hexdigest = keyed.digest(secret, "k_anonymity", column, F.col(key))
-    coin_lost = keyed.uniform_of(hexdigest, 0) >= p
+    coin_lost = F.coalesce(keyed.uniform_of(hexdigest, 0) >= p, F.lit(False))
     target = F.floor(keyed.uniform_of(hexdigest, 1) * F.lit(rows)).cast("bigint")
     names = df.columns
-    other = categories.select(F.col(column).alias("_other"), F.col("_index").alias("_target"))
+    other = categories.select(F.col(column).alias("_other"), "_target")
+    rare = categories.where(F.col("n") < k).select(column, F.lit(True).alias("_rare"))
 
     if skew.fits_broadcast(rows, text_bytes):
-        rare = categories.where(F.col("n") < k).select(column, F.lit(True).alias("_rare"))
         marked = df.join(F.broadcast(rare), column, "left")
         marked = marked.withColumn("_target", F.when(F.col("_rare") & coin_lost, target))
         replaced = marked.join(F.broadcast(other), "_target", "left")
         return replaced.withColumn(column, F.coalesce("_other", column)).select(*names)
 
-    # common values pass without a shuffle; nulls too
-    heavy = F.broadcast(
-        skew.heavy_values(categories, total).where(F.col("n") >= k).select(F.col(column).alias("_heavy"))
-    )
-    pass_through = df.join(heavy, F.col(column) == F.col("_heavy"), "left_semi").unionByName(
-        df.where(F.col(column).isNull())
-    )
-    rest = df.where(F.col(column).isNotNull()).join(heavy, F.col(column) == F.col("_heavy"), "left_anti")
-    rest = rest.join(categories.select(column, "n"), column)
-    lost = (F.col("n") < k) & coin_lost
-    kept = rest.where(~lost).select(*names)
-    moved = rest.where(lost).withColumn("_target", target).join(other, "_target")
-    moved = moved.withColumn(column, F.col("_other")).select(*names)
-    return pass_through.unionByName(kept).unionByName(moved)
+    # Rows that win the coin, and rows of a common value, stay as they are without a shuffle.
+    common = skew.heavy_values(categories, total).where(F.col("n") >= k)
+    marked = df.join(F.broadcast(common.select(column, F.lit(True).alias("_common"))), column, "left")
+    needs_look = coin_lost & F.col(column).isNotNull() & F.col("_common").isNull()
+    unchanged = marked.where(~needs_look).select(*names)
+    looked = marked.where(needs_look).join(rare, column, "left")
+    # values that turn out not to be rare match no category; their keys are spread, not null
+    nowhere = -F.lit(1) - F.pmod(F.xxhash64(F.col(key)), F.lit(2**31))
+    looked = looked.withColumn("_target", F.when(F.col("_rare"), target).otherwise(nowhere))
+    replaced = looked.join(other, "_target", "left").withColumn(column, F.coalesce("_other", column))
+    return unchanged.unionByName(replaced.select(*names))
 
 
 def generalize_categories(df: DataFrame, column: str, limit: int = K.CATEGORY_LIMIT) -> DataFrame:

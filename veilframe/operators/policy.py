@@ -15,10 +15,6 @@ POLICY_SCHEMA = (
     "preserve_statistics boolean, enable_t_closeness boolean, enable_l_diversity boolean, "
     "utility_weight double, description string"
 )
-BAND_SCHEMA = (
-    "from_score int, to_score int, min_epsilon double, max_epsilon double, min_k int, "
-    "force_strict boolean, allow_utility_loss boolean, band string"
-)
 
 
 @dataclass(frozen=True)
@@ -56,13 +52,9 @@ def policies_table(spark: SparkSession, custom: list[Policy] = ()) -> DataFrame:
     return spark.createDataFrame(rows, POLICY_SCHEMA).withColumn("level_value", F.element_at(levels, F.col("level")))
 
 
-def risk_bands(spark: SparkSession) -> DataFrame:
-    """Requirements by risk score, as half-open score intervals."""
-    rows, upper = [], 101
-    for start, *rest in K.RISK_BANDS:
-        rows.append((start, upper, *rest))
-        upper = start
-    return spark.createDataFrame(rows, BAND_SCHEMA)
+def _band(row: tuple):
+    names = ["from_score", "min_epsilon", "max_epsilon", "min_k", "force_strict", "allow_utility_loss", "band"]
+    return F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row)])
 
 
 def resolve_policies(requests: DataFrame, name: str = "policy") -> DataFrame:
@@ -77,14 +69,16 @@ def resolve_policies(requests: DataFrame, name: str = "policy") -> DataFrame:
 def compliance(scores: DataFrame, policies: DataFrame | None = None, score: str = "risk_score") -> DataFrame:
     """Check every scored group against every policy; issues as a text list.
 
-    Bands (4 rows) and policies (8 rows) are paired first and the pairs are
-    broadcast, so the scored side streams through one range join.
+    The band of a score is computed, not searched for, so the scored side
+    meets the policies, each listed once per band, in one broadcast equi-join.
     """
-    spark = scores.sparkSession
-    policies = policies if policies is not None else policies_table(spark)
-    requirements = risk_bands(spark).join(policies, F.lit(True))
-    wanted = F.col(score).between(F.col("from_score"), F.col("to_score") - 1)
-    joined = scores.join(F.broadcast(requirements), wanted)
+    policies = policies if policies is not None else policies_table(scores.sparkSession)
+    listed = policies.select("*", F.inline(F.array(*[_band(row) for row in K.RISK_BANDS])))
+    band = None
+    for start, *_ in K.RISK_BANDS:
+        hit = F.col(score) >= start
+        band = F.when(hit, start) if band is None else band.when(hit, start)
+    joined = scores.withColumn("from_score", band).join(F.broadcast(listed), "from_score")
     issues = F.array_compact(
         F.array(
             F.when(

@@ -197,7 +197,7 @@ def apply_plan(df: DataFrame, plan: PrivacyPlan, secret: str, key: str) -> DataF
         elif c.treatment == "category":
             result = anonymize.generalize_categories(result, c.column)
         else:
-            result = anonymize.k_anonymize(result, c.column, plan.k, secret, "_row_key")
+            result = anonymize.k_anonymize(result, c.column, plan.k, secret, "_row_key", source=df)
     return result.select(*df.columns)
 
 

@@ -104,7 +104,7 @@ def test_similar_queries_against_all_pairs(many_partitions):
     schema = "query_id bigint, user_id bigint, team_id bigint, ts timestamp, table_name string, field_name string, query_type string"
     got = {r.query_id: r for r in teams.similar_queries(many_partitions.createDataFrame(rows, schema)).collect()}
     for i, user, team, ts, t, f, kind in rows:
-        like = [r for r in rows if r[0] != i and r[2] == team and r[4:] == (t, f, kind) and timedelta(0) <= ts - r[3] <= timedelta(days=1)]
+        like = [r for r in rows if r[0] != i and r[2] == team and r[4:] == (t, f, kind) and (r[3], r[0]) < (ts, i) and ts - r[3] <= timedelta(days=1)]
         others = any(r[1] != user for r in like)
         assert got[i].similar_queries_detected == len(like)
         assert got[i].cross_user_detection == others

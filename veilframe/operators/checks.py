@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import materialize
 from . import skew
 
 
@@ -42,7 +43,8 @@ def t_closeness(df: DataFrame, quasi: list[str], sensitive: str, t: float = 0.2)
     global share the class does not cover.
     """
     known = df.dropna(subset=[*quasi, sensitive])
-    cells = known.groupBy(*quasi, sensitive).agg(F.count(F.lit(1)).alias("n"))
+    # counted once and written: three steps below read the counts, none reads the rows again
+    cells = materialize(known.groupBy(*quasi, sensitive).agg(F.count(F.lit(1)).alias("n")))
     sizes = cells.groupBy(*quasi).agg(F.sum("n").alias("size"))
 
     def overall() -> DataFrame:

@@ -54,33 +54,33 @@ def similar_queries(
     """For each query: earlier like queries of the same team within the window, and the cost factor.
 
     ``log``: query_id, user_id, team_id, ts, table_name, field_name, query_type.
-    Like queries share team, table, field and type; ties in time count as earlier.
-
-    No pairs are formed. Every query sends two probes, its own time and the
-    start of its window, into one global order of (group, time); the difference
-    of the running totals there is the number of like queries in between. The
-    same total over (group, user) gives the user's own share, the rest are
-    teammates'. Work is two sorts of twice the log, whatever the group sizes.
+    Like queries share team, table, field and type; of two at the same time the
+    one with the smaller id is earlier.
+
+    No pairs are formed. Every query sends two rows, itself and the start of its
+    window, into one global order of (group, time); the difference of the running
+    totals there is the number of like queries in between. The same total over
+    (group, user) gives the user's own share, the rest are teammates'. Work is
+    two sorts of twice the log, whatever the group sizes.
     """
     base = log.select(
         "query_id",
         "user_id",
         "team_id",
-        fingerprint("team_id", "table_name", "field_name", "query_type").alias("print"),
+        F.unhex(fingerprint("team_id", "table_name", "field_name", "query_type")).alias("print"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
     )
-    # side orders rows of equal time: window starts before queries, query ends after
+    # at equal times window starts come before queries
     probes = base.select("*", F.inline(F.array(
         F.struct((F.col("at") - F.lit(window_seconds * 1_000_000)).alias("moment"),
                  F.lit(0).alias("side"), F.lit(0).alias("is_query")),
         F.struct(F.col("at").alias("moment"), F.lit(1).alias("side"), F.lit(1).alias("is_query")),
-        F.struct(F.col("at").alias("moment"), F.lit(2).alias("side"), F.lit(0).alias("is_query")),
     )))
     team = _counts_at(probes, ["print"], "team_total")
     own = _counts_at(probes, ["print", "user_id"], "own_total")
 
     def between(counts: DataFrame, total: str, name: str) -> DataFrame:
-        end = F.max(F.when(F.col("side") == 2, F.col(total)))
+        end = F.max(F.when(F.col("side") == 1, F.col(total)))
         start = F.max(F.when(F.col("side") == 0, F.col(total)))
         # the query itself is not similar to itself
         return counts.groupBy("query_id").agg((end - start - 1).alias(name))

@@ -13,7 +13,7 @@ from .base import (
     DEMOGRAPHIC_SQL, PEOPLE_COLUMNS, PEOPLE_SQL, SECRET, demographic, digest_sql, laplace_sql, people,
     pool_noise_sql, query, query_log, table, uniform_of_sql, uniform_sql, LOG_SQL,
 )
-from .risks import _ORDER_COLUMNS, _SCORE, scored_sql
+from .risks import _ORDER_COLUMNS, _PEOPLE_SCORED, _SCORE, scored_sql
 from .transforms import SEED_KEY, _EVENT_SEED
 
 
@@ -80,10 +80,18 @@ def privatize_fixed_risk(spark, sf):
     return released
 
 
-@query("privatize_metadata")
+@query(
+    "privatize_metadata",
+    _PEOPLE_SCORED + f", d AS (SELECT {_SCORE} AS risk_score, count(*) AS n FROM scored), v AS (SELECT count(*) AS bad FROM "
+    "(SELECT 1 FROM people GROUP BY full_name, phone, age, pincode HAVING count(DISTINCT salary) < 2)) "
+    "SELECT risk_score, CAST(0.5 AS DOUBLE) AS epsilon_total, CAST(0.00001 AS DOUBLE) AS delta, 10 AS k_anonymity, "
+    "true AS strict_mode, 'Very Strong' AS privacy_level, 9 AS columns_transformed, n * 9 AS total_values, "
+    "n AS redacted_values, n * 8 AS preserved_values, round(n * 8 / (n * 9) * 100, 2) AS utility_preservation_score, "
+    "bad AS l_violations FROM d, v",
+)
 def privatize_metadata(spark, sf):
     rows = people(spark, sf)
-    released, plan = privatize.privatize(rows, SECRET, "id")
+    released, plan = privatize.privatize(rows, SECRET, "id", compat="risk")
     return privatize.release_summary(rows, released, plan)
 
 

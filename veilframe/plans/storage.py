@@ -274,13 +274,19 @@ def privatize_stream(spark, sf):
     return spark.read.parquet(f"{path}/rows").drop("status")
 
 
-@query("audit_window_counts")
+@query(
+    "audit_window_counts",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events "
+    "WHERE CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY "
+    "GROUP BY ALL",
+)
 def audit_window_counts(spark, sf):
     counts = jobs.window_counts(_event_stream(spark, sf), "ts", "event_type")
     path = scratch_path(spark, "window-stream")
     _finish(jobs.append_to(counts, f"{path}/rows", f"{path}/checkpoint"))
     # append mode: a window is written once the watermark has passed it
-    return spark.read.parquet(f"{path}/rows")
+    closed = spark.read.parquet(f"{path}/rows")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query(

@@ -17,9 +17,6 @@ from .. import constants as K
 from ..functions import parse
 from ..functions.randomized import is_currency
 
-PROFILE_SCHEMA = "column string, position int, name_type string, name_sensitivity string, currency boolean"
-
-
 def classify_name(name: str) -> tuple[str, str] | None:
     """(type, sensitivity) by column name, or None."""
     for kind, sensitivity, patterns in K.NAME_RULES:
@@ -32,17 +29,21 @@ def _names_table(spark: SparkSession, columns: list[str]) -> DataFrame:
     """One row per column of the schema with what its name says."""
     rows = []
     for position, name in enumerate(columns):
-        kind, sensitivity = classify_name(name) or (None, None)
-        rows.append((name, position, kind, sensitivity, is_currency(name)))
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+        found = classify_name(name)
+        kind, sensitivity = (parse.sql_text(v) for v in found) if found else ("CAST(NULL AS STRING)",) * 2
+        currency = str(is_currency(name)).lower()
+        rows.append(f"({parse.sql_text(name)}, {position}, {kind}, {sensitivity}, {currency})")
+    return spark.sql(
+        f"SELECT * FROM VALUES {', '.join(rows)} AS t(column, position, name_type, name_sensitivity, currency)"
+    )
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """Non-null values as (column, value) text rows."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    pairs = ", ".join(
+        f"named_struct('column', {parse.sql_text(c)}, 'value', CAST({parse.sql_name(c)} AS STRING))" for c in columns
     )
-    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+    return df.selectExpr(*keep, f"inline(array({pairs}))").where("value IS NOT NULL")
 
 
 def _pattern_column(name: str) -> str:
@@ -64,17 +65,19 @@ _NEEDS = {
 }
 
 
-def _value_tests() -> dict[str, Column]:
-    value = F.col("value")
+def _value_tests() -> dict[str, str]:
+    """SQL conditions on ``value``, by the name of their count."""
     tests = {}
     for name, pattern, _, _ in K.VALUE_PATTERNS:
         matched = f"value RLIKE {parse.sql_text('(?iU)' + pattern)}"
-        tests[_pattern_column(name)] = F.expr(f"{_NEEDS[name]} AND {matched}" if name in _NEEDS else matched)
-    number = parse.safe_numeric(value)
-    tests["m_float"] = parse.float_text(value).isNotNull()
-    tests["m_number"] = number.isNotNull()
-    tests["m_nonzero"] = number != 0
-    tests["m_blank"] = parse.is_blank(value)
+        tests[_pattern_column(name)] = f"{_NEEDS[name]} AND {matched}" if name in _NEEDS else matched
+    blanks, number = parse.sql_text(parse.BLANKS), parse.sql_text(parse.FLOAT_PATTERN)
+    bare = f"btrim(translate(value, '$,', ''), {blanks})"
+    tests["m_float"] = f"btrim(value, {blanks}) RLIKE {number}"
+    tests["m_number"] = f"{bare} RLIKE {number}"
+    # a digit other than zero before the exponent
+    tests["m_nonzero"] = f"{bare} RLIKE {number} AND {bare} RLIKE '^[^eE]*[1-9]'"
+    tests["m_blank"] = "NOT value RLIKE '\\\\S'"
     return tests
 
 
@@ -93,35 +96,34 @@ def profile_columns(
     tests = _value_tests()
     if sample_by:
         head = df.orderBy(*sample_by).limit(K.CLASSIFY_SAMPLE_ROWS)
-        ordered = Window.partitionBy("column").orderBy(*[F.col(f"_k{i}") for i in range(len(sample_by))])
-        keyed = head.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(sample_by)], *columns)
-        values = long_form(keyed, columns, [f"_k{i}" for i in range(len(sample_by))])
-        values = values.withColumn("_in", F.row_number().over(ordered) <= K.PATTERN_SAMPLE_VALUES)
+        keys = [f"_k{i}" for i in range(len(sample_by))]
+        keyed = head.select(*[F.col(k).alias(name) for k, name in zip(sample_by, keys)], *columns)
+        place = Window.partitionBy("column").orderBy(*keys)
+        values = long_form(keyed, columns, keys)
+        values = values.withColumn("early", F.row_number().over(place) <= K.PATTERN_SAMPLE_VALUES)
+        every = ("m_number", "m_nonzero", "m_blank")
         stats = values.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.countDistinct("value").alias("distinct"),
-            F.count_if("_in").alias("pattern_n"),
-            F.countDistinct(F.when(F.col("_in"), F.col("value"))).alias("pattern_distinct"),
-            *[
-                F.count_if(t & (F.col("_in") | F.lit(s in ("m_number", "m_nonzero", "m_blank")))).alias(s)
-                for s, t in tests.items()
-            ],
+            F.expr("count(1) AS n"),
+            F.expr("count(DISTINCT value) AS distinct"),
+            F.expr("count_if(early) AS pattern_n"),
+            F.expr("count(DISTINCT CASE WHEN early THEN value END) AS pattern_distinct"),
+            *[F.expr(f"count_if(({t}) AND ({str(s in every).lower()} OR early)) AS {s}") for s, t in tests.items()],
         )
     elif distinct == "exact":
         counted = long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
         stats = counted.groupBy("column").agg(
-            F.sum("c").alias("n"),
-            F.count(F.lit(1)).alias("distinct"),
-            *[F.coalesce(F.sum(F.when(t, F.col("c"))), F.lit(0)).alias(s) for s, t in tests.items()],
+            F.expr("sum(c) AS n"),
+            F.expr("count(1) AS distinct"),
+            *[F.expr(f"coalesce(sum(c) FILTER (WHERE {t}), 0) AS {s}") for s, t in tests.items()],
         )
-        stats = stats.withColumn("pattern_n", F.col("n")).withColumn("pattern_distinct", F.col("distinct"))
+        stats = stats.selectExpr("*", "n AS pattern_n", "distinct AS pattern_distinct")
     elif distinct == "approx":
         stats = long_form(df, columns).groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.approx_count_distinct("value", 0.01).alias("distinct"),
-            *[F.count_if(t).alias(s) for s, t in tests.items()],
+            F.expr("count(1) AS n"),
+            F.expr("approx_count_distinct(value, 0.01) AS distinct"),
+            *[F.expr(f"count_if({t}) AS {s}") for s, t in tests.items()],
         )
-        stats = stats.withColumn("pattern_n", F.col("n")).withColumn("pattern_distinct", F.col("distinct"))
+        stats = stats.selectExpr("*", "n AS pattern_n", "distinct AS pattern_distinct")
     else:
         raise ValueError("distinct is 'exact' or 'approx'")
     names = _names_table(df.sparkSession, columns)

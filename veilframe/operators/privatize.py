@@ -121,18 +121,19 @@ def plan_privacy(
     ``'policy'`` tightens them to the named policy as well.
     """
     columns = columns or df.columns
-    if risk_score is None:
-        risk_score = risk.dataset_risk(df, columns).first()["risk_score"]
+    profiled = classify.numeric_override(
+        classify.combine_signals(classify.profile_columns(df, columns, distinct, sample_by))
+    )
+    # the score is a subquery of the profile, so that one action runs both
+    score = risk.dataset_risk(df, columns).select("risk_score").scalar() if risk_score is None else F.lit(risk_score)
+    # one row per column of the schema
+    found = {r["column"]: r for r in profiled.withColumn("risk_score", score).collect()}
+    risk_score = next(iter(found.values()))["risk_score"]
     epsilon, k, strict = settings_for_risk(risk_score)
     chosen = policy.policy_named(policy_name)
     if compat == "policy":
         epsilon = min(epsilon, Decimal(str(chosen.epsilon)))
         k = max(k, chosen.k)
-    profiled = classify.numeric_override(
-        classify.combine_signals(classify.profile_columns(df, columns, distinct, sample_by))
-    )
-    # one row per column of the schema
-    found = {r["column"]: r for r in profiled.collect()}
     rows = df.count() if max((r["n"] for r in found.values()), default=0) < K.SMALL_DATASET_ROWS else K.SMALL_DATASET_ROWS
     plan = PrivacyPlan(risk_score, epsilon, k, strict, rows, l_diversity=compat == "risk" or chosen.l_diversity)
     for position, name in enumerate(columns):

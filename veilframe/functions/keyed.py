@@ -78,7 +78,7 @@ def bounded_laplace(value: Column, u: Column, scale: Column, lower: Column, uppe
     return F.when(value.isNotNull(), F.least(F.greatest(value + x, lower), upper))
 
 
-def bounded_laplace_scale(epsilon: float, sensitivity: Column, width: Column) -> Column:
+def bounded_laplace_scale(epsilon: Column | float, sensitivity: Column, width: Column) -> Column:
     """Noise scale of the bounded-domain Laplace mechanism.
 
     Truncation changes the normalising constant between neighbouring inputs,
@@ -88,13 +88,14 @@ def bounded_laplace_scale(epsilon: float, sensitivity: Column, width: Column) ->
     and bisection the solution; it runs on aggregated rows only.
     """
     reach = F.least(sensitivity, width)
+    epsilon = F.lit(epsilon) if isinstance(epsilon, (int, float)) else epsilon
 
     def too_small(b: Column) -> Column:
         top = F.lit(2.0) - F.exp(-reach / b) - F.exp((reach - width) / b)
-        room = F.lit(epsilon) - F.log(top / (F.lit(1.0) - F.exp(-width / b)))
+        room = epsilon - F.log(top / (F.lit(1.0) - F.exp(-width / b)))
         return b * room < sensitivity
 
-    start = sensitivity / F.lit(epsilon)
+    start = sensitivity / epsilon
     high = F.aggregate(
         F.sequence(F.lit(1), F.lit(40)), start, lambda b, _: F.when(too_small(b), b * 2.0).otherwise(b)
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import keyed
+from .reports import budget_level, budget_percent, budget_warning, degradation_factor
 
 COMPARISONS = {
     "=": lambda c, v: c == v,
@@ -204,6 +205,85 @@ def _error(spark, message: str, remaining: int, required: int) -> DataFrame:
     )
 
 
+def answer_log(
+    decisions: DataFrame, df: DataFrame, field: str, lower: float, upper: float, secret: str
+) -> DataFrame:
+    """Answer a whole log of decided queries on one field.
+
+    ``decisions``: query_id, user_id, query_type, epsilon_cost, accepted,
+    epsilon_remaining, max_epsilon. The table is aggregated once; noise scales
+    are solved once per (query type, degradation), at most 20 rows, and every
+    accepted query gets its own keyed draw. Refused queries carry an error.
+    """
+    stats = df.agg(*_statistics(F.col(f"`{field}`"), lower, upper))
+    n = F.greatest(F.col("_n"), F.lit(1)).cast("double")
+    width = float(upper - lower)
+    low, high = F.lit(float(lower)), F.lit(float(upper))
+    kind, eps = F.col("query_type"), F.col("effective_epsilon")
+    spread = kind.isin("variance", "std")
+    # per query type: true value, domain, and how far one record can move it
+    value = (
+        F.when(kind == "count", F.col("_nonzero").cast("double"))
+        .when(kind == "mean", F.coalesce("_mean", F.lit((lower + upper) / 2.0)))
+        .when(kind == "sum", F.col("_sum"))
+        .otherwise(F.greatest(F.col("_var"), F.lit(0.0)))
+    )
+    bottom = F.when(kind == "mean", low).when(kind == "sum", low * n).otherwise(F.lit(0.0))
+    top = F.when(kind == "mean", high).when(kind == "sum", high * n).when(spread, F.lit(width * width / 4.0))
+    reach = (
+        F.when(kind == "count", F.lit(1.0))
+        .when(kind == "mean", F.lit(width) / n)
+        .when(kind == "sum", F.lit(float(max(abs(lower), abs(upper)))))
+        .otherwise(F.greatest(F.lit(width * width) * (n - 1.0) / (n * n), F.lit(1e-12)))
+    )
+    factors = [factor for _, _, factor in K.BUDGET_BANDS] + [K.BUDGET_BOTTOM[1]]
+    costs = F.array(*[F.struct(F.lit(t).alias("query_type"), F.lit(c / 100.0).alias("cost")) for t, c in K.QUERY_COST_CENTS.items()])
+    kinds = stats.select("*", F.inline(costs)).select(
+        "*", F.explode(F.array(*[F.lit(f) for f in factors])).alias("degradation_factor")
+    )
+    prepared = kinds.withColumn("effective_epsilon", F.col("cost") / F.col("degradation_factor")).select(
+        "query_type", "degradation_factor", "effective_epsilon",
+        value.alias("_value"), bottom.alias("_bottom"), top.alias("_top"), reach.alias("_reach"),
+    )
+    bounded_kind = spread | (kind == "sum")
+    scale = F.when(
+        bounded_kind, keyed.bounded_laplace_scale(eps, F.col("_reach"), F.col("_top") - F.col("_bottom"))
+    ).otherwise(F.col("_reach") / eps)
+    mechanisms = F.broadcast(prepared.withColumn("noise_scale", scale))
+
+    percent = budget_percent()
+    asked = decisions.withColumn("degradation_factor", degradation_factor(percent)).withColumn("_percent", percent)
+    joined = asked.join(mechanisms, ["query_type", "degradation_factor"])
+    u = keyed.uniform(secret, "dp_answer", field, F.col("query_id"))
+    drawn = joined.withColumn("_u", u)
+    plain = F.col("_value") + keyed.laplace(F.col("_u"), F.col("noise_scale"))
+    inside = keyed.bounded_laplace(
+        F.col("_value"), F.col("_u"), F.col("noise_scale"), F.col("_bottom"), F.coalesce("_top", F.lit(float("inf")))
+    )
+    answer = (
+        F.when(kind == "count", F.greatest(F.rint(plain), F.lit(0.0)))
+        .when(kind == "mean", F.least(F.greatest(plain, low), high))
+        .when(kind == "std", F.sqrt(inside))
+        .otherwise(inside)
+    )
+    accepted = F.col("accepted")
+    return drawn.select(
+        "query_id",
+        "user_id",
+        "query_type",
+        F.when(accepted, answer).alias("result"),
+        F.when(~accepted, F.lit("BUDGET_EXHAUSTED")).alias("error"),
+        "epsilon_cost",
+        "epsilon_remaining",
+        F.bround("_percent", 2).alias("budget_percentage"),
+        "degradation_factor",
+        F.when(accepted, eps).alias("effective_epsilon"),
+        F.when(accepted, F.col("noise_scale")).alias("noise_scale"),
+        budget_level(F.col("_percent")).alias("budget_status"),
+        budget_warning(F.col("_percent")).alias("warning"),
+    )
+
+
 def seeded_laplace(df: DataFrame, value: str, query_id: str, ts: str, key: str, scale: float, hours: int = 24) -> DataFrame:
     """Add deterministic Laplace noise: equal query and rotation window, equal noise."""
     hexdigest = keyed.seed_digest(key, F.col(query_id), keyed.rotation_window(F.col(ts), hours))

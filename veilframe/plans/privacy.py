@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import keyed
-from ..operators import checks, dp, json_rewrite, policy, privatize, teams
+from ..operators import checks, dp, json_rewrite, ledger, policy, privatize, teams
 from ..sources import tables
+from . import budgets
 from .base import (
     DEMOGRAPHIC_SQL, PEOPLE_COLUMNS, PEOPLE_SQL, SECRET, demographic, digest_sql, laplace_sql, people,
     pool_noise_sql, query, query_log, table, uniform_of_sql, uniform_sql, LOG_SQL,
@@ -328,21 +329,30 @@ _BOUNDED_RESULT = (
 )
 
 
+def scale_sql(stats: str) -> str:
+    """CTEs from ``stats`` (k, eps, m, lo, hi, sens) to ``scale`` (k, m, lo, hi, b), one bisection per row."""
+
+    def too_small(b: str) -> str:
+        reach = "least(sens, hi - lo)"
+        log_c = f"ln((2 - exp(-{reach} / {b}) - exp(({reach} - (hi - lo)) / {b})) / (1 - exp(-(hi - lo) / {b})))"
+        return f"{b} * (eps - {log_c}) < sens"
+
+    middle = "((lw + hg) / 2)"
+    return (
+        f"stats AS ({stats}), dbl AS (SELECT 0 AS i, k, eps, m, lo, hi, sens, sens / eps AS b FROM stats UNION ALL "
+        f"SELECT i + 1, k, eps, m, lo, hi, sens, CASE WHEN {too_small('b')} THEN b * 2 ELSE b END FROM dbl WHERE i < 40), "
+        "bis AS (SELECT 0 AS i, k, eps, m, lo, hi, sens, sens / eps AS lw, b AS hg FROM dbl WHERE i = 40 UNION ALL "
+        f"SELECT i + 1, k, eps, m, lo, hi, sens, CASE WHEN {too_small(middle)} THEN {middle} ELSE lw END, "
+        f"CASE WHEN {too_small(middle)} THEN hg ELSE {middle} END FROM bis WHERE i < 60), "
+        "scale AS (SELECT k, m, lo, hi, hg AS b FROM bis WHERE i = 60)"
+    )
+
+
 def bounded_sql(stats: str, u: str, epsilon: float) -> str:
-    """CTEs from ``stats`` (m, lo, hi, sens; one row) to ``drawn`` with the result column r."""
-    small = (
-        "b * ({e} - ln((2 - exp(-least(sens, hi - lo) / b) - exp((least(sens, hi - lo) - (hi - lo)) / b)) "
-        "/ (1 - exp(-(hi - lo) / b)))) < sens"
-    ).format(e=epsilon)
-    mid = small.replace(" b ", " B ").replace("/ b)", "/ ((lw + hg) / 2))").replace("b * (", "((lw + hg) / 2) * (", 1)
+    """CTEs from one row (m, lo, hi, sens) to ``drawn`` with the result column r."""
     return (
-        f"stats AS ({stats}), dbl AS (SELECT 0 AS i, *, sens / {epsilon} AS b FROM stats UNION ALL "
-        f"SELECT i + 1, m, lo, hi, sens, CASE WHEN {small} THEN b * 2 ELSE b END FROM dbl WHERE i < 40), "
-        f"bis AS (SELECT 0 AS i, m, lo, hi, sens, sens / {epsilon} AS lw, b AS hg FROM dbl WHERE i = 40 UNION ALL "
-        f"SELECT i + 1, m, lo, hi, sens, CASE WHEN {mid} THEN (lw + hg) / 2 ELSE lw END, "
-        f"CASE WHEN {mid} THEN hg ELSE (lw + hg) / 2 END FROM bis WHERE i < 60), "
-        "scale AS (SELECT m, lo, hi, hg AS b FROM bis WHERE i = 60), "
-        f"prob AS (SELECT *, {_cdf('(lo - m)')} + {u} * ({_cdf('(hi - m)')} - {_cdf('(lo - m)')}) AS p FROM scale), "
+        scale_sql(f"SELECT 0 AS k, CAST({epsilon} AS DOUBLE) AS eps, * FROM ({stats})")
+        + f", prob AS (SELECT *, {_cdf('(lo - m)')} + {u} * ({_cdf('(hi - m)')} - {_cdf('(lo - m)')}) AS p FROM scale), "
         f"drawn AS (SELECT {_BOUNDED_RESULT} AS r FROM prob) "
     )
 
@@ -460,6 +470,50 @@ def dp_filtered_query(spark, sf):
     return _rounded(dp.dp_query({"demographic": demographic(spark, sf)}, request, 1000, SECRET))
 
 
+_TRUE = (
+    "SELECT count(l_quantity) AS n, count(*) FILTER (WHERE l_quantity <> 0) AS nz, sum(least(greatest(l_quantity, 0), 50)) AS s, "
+    "avg(least(greatest(l_quantity, 0), 50)) AS a, var_pop(least(greatest(l_quantity, 0), 50)) AS v FROM lineitem"
+)
+_COSTS = ", ".join(f"('{t}', {c / 100})" for t, c in K.QUERY_COST_CENTS.items())
+_ANSWER_U = uniform_sql("dp_answer", "l_quantity", "query_id")
+
+
+@query(
+    "dp_answer_log",
+    budgets.fold_sql()
+    + f", t AS ({_TRUE}), cost(qt, c) AS (VALUES {_COSTS}), deg(d) AS (VALUES (1), (2), (5), (10)), "
+    "kinds AS (SELECT qt, CAST(d AS DOUBLE) AS d, CAST(c AS DOUBLE) / d AS eps, CASE qt WHEN 'count' THEN CAST(nz AS DOUBLE) "
+    "WHEN 'mean' THEN a WHEN 'sum' THEN s ELSE v END AS m, CAST(0 AS DOUBLE) AS lo, CASE qt WHEN 'sum' THEN 50.0 * n "
+    "WHEN 'mean' THEN 50 ELSE 625 END AS hi, CASE qt WHEN 'count' THEN 1 WHEN 'mean' THEN CAST(50 AS DOUBLE) / n WHEN 'sum' THEN 50 "
+    "ELSE CAST(2500 AS DOUBLE) * (n - 1) / (CAST(n AS DOUBLE) * n) END AS sens FROM t, cost, deg), "
+    + scale_sql("SELECT concat(qt, d) AS k, eps, m, lo, CAST(hi AS DOUBLE) AS hi, sens FROM kinds WHERE qt IN ('sum', 'variance', 'std')")
+    + ", mech AS (SELECT kinds.*, coalesce(scale.b, sens / eps) AS b FROM kinds LEFT JOIN scale ON k = concat(qt, d)), "
+    "q AS (SELECT holder, query_id, query_type, cents, accepted, units, units * 100 / max AS pct, CAST(CASE WHEN units * 100 / max > 50 "
+    "THEN 1 WHEN units * 100 / max > 25 THEN 2 WHEN units * 100 / max > 10 THEN 5 ELSE 10 END AS DOUBLE) AS d FROM fold), "
+    f"j AS (SELECT q.*, mech.*, {_ANSWER_U} AS u FROM q JOIN mech ON qt = query_type AND mech.d = q.d), "
+    f"p AS (SELECT *, {_cdf('(lo - m)')} + u * ({_cdf('(hi - m)')} - {_cdf('(lo - m)')}) AS p, "
+    f"m + {laplace_sql('u', 'b')} AS plain FROM j), r AS (SELECT *, {_BOUNDED_RESULT} AS inside FROM p) "
+    "SELECT query_id, holder AS user_id, query_type, CASE WHEN accepted THEN round(CASE query_type WHEN 'count' THEN "
+    "greatest(round_even(plain, 0), 0) WHEN 'mean' THEN least(greatest(plain, 0), 50) WHEN 'std' THEN sqrt(inside) ELSE inside END, 4) "
+    "END AS result, CASE WHEN NOT accepted THEN 'BUDGET_EXHAUSTED' END AS error, units / 100 AS epsilon_remaining, "
+    "round(pct, 2) AS budget_percentage, CASE WHEN accepted THEN round(eps, 6) END AS effective_epsilon, "
+    "CASE WHEN pct > 50 THEN 'HIGH' WHEN pct > 25 THEN 'MEDIUM' WHEN pct > 10 THEN 'LOW' ELSE 'CRITICAL' END AS budget_status, "
+    "CASE WHEN pct > 50 THEN NULL WHEN pct > 25 THEN printf('Your privacy budget is at %.1f%%. Noise has been increased %.1fx "
+    "for stronger privacy protection.', pct, CAST(2 AS DOUBLE)) WHEN pct > 10 THEN printf('⚠️ Your privacy budget is running low "
+    "(%.1f%% remaining). Noise has been increased %.1fx for stronger privacy protection.', pct, CAST(5 AS DOUBLE)) ELSE "
+    "printf('🚨 CRITICAL: Only %.1f%% budget remaining! Noise has been increased %.1fx. Consider requesting a budget reset.', "
+    "pct, CAST(10 AS DOUBLE)) END AS warning FROM r",
+)
+def dp_answer_log(spark, sf):
+    # every query of the log, decided by the ledger, asks about the quantity of the line items
+    decided = ledger.decisions(budgets._fold(spark, sf))
+    answers = dp.answer_log(decided, table(spark, sf, "lineitem"), "l_quantity", 0, 50, SECRET)
+    return answers.select(
+        "query_id", "user_id", "query_type", F.round("result", 4).alias("result"), "error", "epsilon_remaining",
+        "budget_percentage", F.round("effective_epsilon", 6).alias("effective_epsilon"), "budget_status", "warning",
+    )
+
+
 # ------------------------------------------------------------------ noise with a seed
 _EVENT_U = [uniform_of_sql(_EVENT_SEED, i) for i in (0, 1)]
 

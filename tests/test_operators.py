@@ -195,6 +195,26 @@ def test_json_that_is_no_json_is_hashed(spark):
     assert got[1] != '{"a": 5}'
 
 
+def test_nested_columns_are_rewritten_in_place(spark):
+    df = spark.createDataFrame(
+        [(1, ("Ann Lee", "ann@x.org", [5, -1]))], "id int, data struct<name: string, mail: string, codes: array<int>>"
+    )
+    got = json_rewrite.anonymize_json(df, "data", "s", "id").first().data
+    assert got.name.startswith("Person_") and got.mail == "an*@x.org"
+    assert got.codes[1] == -1 and abs(got.codes[0] - 5) in (1, 2, 3)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_look_up_of_a_frequent_key(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    rows = [(i, 0 if i % 3 else i) for i in range(900)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id int, k int")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(0, 900, 6)], "k int, t string")
+    got = {r.id: r.t for r in skew.look_up(df, table, "k").collect()}
+    assert got == {i: (f"t{k}" if k is not None and k % 6 == 0 else None) for i, k in rows}
+
+
 # ------------------------------------------------------------------ DP, policy, SQL guard
 def test_dp_results_stay_in_bounds_and_reject_bad_requests(spark):
     df = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v"))

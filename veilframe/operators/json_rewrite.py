@@ -80,10 +80,13 @@ def rewrite(c: Column, data_type: T.DataType, secret: str, row_key: Column, key:
 
 
 def anonymize_json(df: DataFrame, column: str, secret: str, key: str, schema: T.DataType | None = None) -> DataFrame:
-    """Rewrite a JSON text column; text that is no JSON is hashed.
+    """Rewrite a JSON text column, or a struct or list column; text that is no JSON is hashed.
 
     Keys that are absent from a document stay absent.
     """
+    nested = df.schema[column].dataType
+    if isinstance(nested, (T.StructType, T.ArrayType)):
+        return df.withColumn(column, rewrite(F.col(column), nested, secret, F.col(key).cast("string")))
     schema = schema or infer_schema(df, column)
     text = F.col(column)
     if not isinstance(schema, (T.StructType, T.ArrayType)):

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from . import skew
 from .ordering import in_global_order
 
 HOUR = K.REFILL_INTERVAL_SECONDS
@@ -518,7 +519,7 @@ def reset_all(ledger: DataFrame, epsilon_value: float, at: str) -> DataFrame:
 def team_holder(queries: DataFrame, memberships: DataFrame, teams: DataFrame, user: str = "user_id") -> DataFrame:
     """Add ``holder``: the team for members of teams with a shared budget, else the user."""
     shared = memberships.join(teams.where("shared_budget").select("team_id"), "team_id").select(user, "team_id")
-    joined = queries.join(shared, user, "left")
+    joined = skew.look_up(queries, shared, user)
     holder = F.when(F.col("team_id").isNotNull(), F.concat(F.lit("team:"), F.col("team_id").cast("string")))
     return joined.withColumn(
         "holder", F.coalesce(holder, F.concat(F.lit("user:"), F.col(user).cast("string")))

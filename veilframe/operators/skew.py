@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 HEAVY_PARTS = 1000  # a value is heavy when it holds more than 1/1000 of the rows
@@ -48,6 +50,19 @@ def join_by_value(
     return hot.join(hot_table, key, how).unionByName(cold.join(table, key, how))
 
 
+def look_up(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join with a table that has at most one row per key, whatever the key frequencies."""
+    size = F.lit(0)
+    for c in table.columns:
+        size = size + text_size(F.col(f"`{c}`"))
+    rows, text_bytes = table.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if fits_broadcast(rows, text_bytes):
+        return df.join(F.broadcast(table), key, "left")
+    counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_by_value(df, table, key, lambda: counts, total, rows, text_bytes, "left")
+
+
 def text_size(c: Column) -> Column:
     """Bytes of the text form of a value, for size checks."""
     return F.coalesce(F.octet_length(c.cast("string")), F.lit(0))

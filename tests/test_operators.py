@@ -254,6 +254,20 @@ def test_policies(spark):
     assert policy.custom_policy(0.9, 4).level == "STRICT"
 
 
+def test_rules_per_kind_of_column(spark):
+    df = spark.createDataFrame(
+        [("home_email", "hashing"), ("user_password", "masking"), ("other", "masking")], "column string, mechanism string"
+    )
+    got = {r.column: (r.rule, r.method_allowed) for r in policy.column_rule_check(df).collect()}
+    assert got == {"home_email": ("email", True), "user_password": ("password", False), "other": (None, None)}
+
+
+def test_report_groups_columns_by_type(spark):
+    found = spark.range(50).select(F.col("id").alias("total"), F.col("id").alias("cost"), F.lit("a@b.co").alias("email"))
+    got = {r.type: [d["column"] for d in r.details] for r in classify.report(classify.classify_columns(found)).collect()}
+    assert got == {"numeric": ["cost", "total"], "identifier": ["email"]}
+
+
 @pytest.mark.parametrize(
     "text", ["DROP TABLE x", "SELECT updated_at FROM t", "SELECT 1; SELECT 2", "SELECT 1 UNION SELECT 2"]
 )

@@ -216,6 +216,30 @@ def privatize(
     return apply_plan(df, plan, secret, key), plan
 
 
+def assess_and_privatize(
+    df: DataFrame,
+    secret: str,
+    key: str,
+    policy_name: str = "standard",
+    compat: str = "policy",
+    columns: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Score, anonymize and score again: the released table and a one-row report."""
+    released, plan = privatize(df, secret, key, None, policy_name, compat, columns)
+    after = risk.residual_risk(released, plan.metadata(df), [c.column for c in plan.columns])
+    before = F.lit(plan.risk_score)
+    report = after.select(
+        F.lit(policy.policy_named(policy_name).name).alias("policy_used"),
+        before.alias("risk_score"),
+        risk.risk_level(before).alias("risk_level"),
+        F.col("risk_score").alias("new_risk_score"),
+        F.col("risk_level").alias("new_risk_level"),
+        "coverage",
+        risk.risk_reduction(before, F.col("risk_score")).alias("risk_reduction_percent"),
+    )
+    return released, report
+
+
 def release_summary(original: DataFrame, released: DataFrame, plan: PrivacyPlan) -> DataFrame:
     """One row: settings, guarantee level, utility and the l-diversity check."""
     summary = checks.utility(released, [c.column for c in plan.columns]).select(

@@ -14,7 +14,7 @@ from .base import (
     DEMOGRAPHIC_SQL, PEOPLE_COLUMNS, PEOPLE_SQL, SECRET, demographic, digest_sql, laplace_sql, people,
     pool_noise_sql, query, query_log, table, uniform_of_sql, uniform_sql, LOG_SQL,
 )
-from .risks import _ORDER_COLUMNS, _PEOPLE_SCORED, _SCORE, scored_sql
+from .risks import _LEVEL, _ORDER_COLUMNS, _PEOPLE_SCORED, _SCORE, scored_sql
 from .transforms import SEED_KEY, _EVENT_SEED
 
 
@@ -96,6 +96,25 @@ def privatize_metadata(spark, sf):
     return privatize.release_summary(rows, released, plan)
 
 
+# mechanisms: hashing 0.95 (id, email), redaction 0.95 (salary), k-anonymity 0.70 (full_name, phone,
+# age, status, pincode), generalization 0.55 (gps)
+_COVERAGE = "((3 * 0.95 + 5 * 0.70 + 0.55) / 9)"
+
+
+@query(
+    "assess_and_privatize",
+    scored_sql(_RELEASED.removeprefix("WITH ").strip(), "released", "row_key", PEOPLE_COLUMNS)
+    + f", scan AS (SELECT {_SCORE} AS found FROM scored), after_score AS (SELECT CAST(round_even(greatest(found * (1 - {_COVERAGE} * 0.4), "
+    f"greatest(5.0, found * 0.05)), 0) AS INT) AS risk_score FROM scan), before_score AS ({_PEOPLE_SCORED} SELECT {_SCORE} AS risk_score "
+    f"FROM scored) SELECT 'standard' AS policy_used, b.risk_score, (SELECT {_LEVEL} FROM before_score) AS risk_level, "
+    f"a.risk_score AS new_risk_score, (SELECT {_LEVEL} FROM after_score) AS new_risk_level, round({_COVERAGE}, 6) AS coverage, "
+    "round((b.risk_score - a.risk_score) / b.risk_score * 100, 2) AS risk_reduction_percent FROM before_score b, after_score a",
+)
+def assess_and_privatize(spark, sf):
+    _, report = privatize.assess_and_privatize(people(spark, sf), SECRET, "id")
+    return report.withColumn("coverage", F.round("coverage", 6))
+
+
 @query(
     "anonymization_proof",
     _RELEASED + "SELECT o.id, o.full_name AS original_name, r.full_name AS anonymized_name, o.email AS original_email, "

@@ -132,6 +132,10 @@ def test_words_next_to_accents_are_not_words(spark):
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
     got = [r.sensitivity_risk for r in risk.score_records(df).collect()]
     assert got == pytest.approx([w for _, w in rows])
+    # long texts are searched in another way, with the same result
+    padded = df.select(F.concat(F.repeat(F.lit("mot "), F.lit(200)), "t", F.repeat(F.lit(" mot"), F.lit(200))).alias("t"))
+    got = [r.sensitivity_risk for r in risk.score_records(padded).collect()]
+    assert got == pytest.approx([w for _, w in rows])
 
 
 @pytest.mark.parametrize("distinct", ["exact", "approx"])

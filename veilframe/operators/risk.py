@@ -87,14 +87,41 @@ def _open_rules(field: str) -> list[tuple[str, str, int]]:
     return [rule for rule in K.SENSITIVE_RULES if not re.search(rule[0], field + " ", re.I)]
 
 
+# Above this length plain substring searches beat a pattern with many alternatives,
+# below it the pattern beats the many searches.
+_LONG_TEXT = 256
+
+
+def _alternatives(pattern: str) -> str:
+    return pattern.removeprefix(r"\b").removesuffix(r"\b").strip("()")
+
+
+def _mentions(words: str, pattern: str) -> str:
+    """Condition: the text contains the literal beginning of one of a rule's alternatives.
+
+    The long s equals s when case is ignored, so it counts as a beginning too.
+    """
+    beginnings = [re.match("[a-z]+", a).group() for a in _alternatives(pattern).split("|")]
+    return " OR ".join(_contains(words, b) for b in [*beginnings, "ſ"])
+
+
 def _any_word(words: str, field: str) -> str:
-    """Condition: a sensitive word may occur; one pass for all rules.
+    """Condition: a sensitive word may occur, for all rules at once.
 
     ASCII word ends admit every match the exact rules, with word ends of any
-    script, can make; the long s, which equals s when case is ignored, does too.
+    script, can make.
     """
-    bodies = [p.removeprefix(r"\b").removesuffix(r"\b").strip("()") for p, _, _ in _open_rules(field)]
-    return _rlike(words, r"\b(" + "|".join(bodies) + r")\b") + f" OR {_contains(words, 'ſ')}"
+    patterns = [p for p, _, _ in _open_rules(field)]
+    short = _rlike(words, r"\b(" + "|".join(_alternatives(p) for p in patterns) + r")\b")
+    long = " OR ".join(_mentions(words, p) for p in patterns)
+    return f"CASE WHEN length({words}) > {_LONG_TEXT} THEN {long} ELSE {short} OR {_contains(words, 'ſ')} END"
+
+
+def _sensitive(i: int, pattern: str) -> str:
+    """Condition: a sensitivity rule holds for scanned column number ``i``."""
+    words = f"_w{i}"
+    guarded = f"(length({words}) <= {_LONG_TEXT} OR {_mentions(words, pattern)})"
+    return f"_a{i} AND {guarded} AND {_rlike(words, '(?iU)' + pattern)}"
 
 
 @dataclass
@@ -161,7 +188,7 @@ def column_hits(i: int, name: str, kind: str) -> list[Hit]:
         if rule not in open_rules:
             hits.append(Hit("sensitivity", present, weight, driver))
         elif kind == "text":
-            hits.append(Hit("sensitivity", f"_a{i} AND {_rlike(f'_w{i}', '(?iU)' + pattern)}", weight, driver))
+            hits.append(Hit("sensitivity", _sensitive(i, pattern), weight, driver))
     if parse.has_any(field, K.ID_FIELD_WORDS):
         if parse.has_any(field, K.SEQUENCE_FIELD_WORDS):
             hits.append(Hit("sensitivity", present, K.SEQUENCE_WEIGHT, K.SEQUENCE_DRIVER))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 JIT_LIMIT = "8000"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, whatever the driver's working directory."""
+    context = spark.sparkContext
+    if getattr(context, "_veilframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # read by the driver's own file server, so a driver-local folder will do
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="veilframe-code-")), "veilframe.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, source.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._veilframe_shipped = True
+
+
 def tune(spark: SparkSession) -> None:
     """Session settings the operators count on, for sessions built elsewhere.
 
     UTC for rotation windows, budget clocks and day partitions.
     """
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
 

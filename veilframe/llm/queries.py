@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL counterparts."""
 
-from . import decontaminate, quality  # noqa: F401
+from . import decontaminate, quality, simhash  # noqa: F401
 from .common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL counterparts."""
 
-from . import decontaminate, extract, passages, quality, simhash  # noqa: F401
+from . import decontaminate, extract, passages, quality, simhash, warc  # noqa: F401
 from .common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

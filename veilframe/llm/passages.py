@@ -9,7 +9,7 @@ difference cover of 7: for any two positions some shift below 7 makes both of th
 cover positions. Two equal 13-word windows therefore hold an equal 7-word anchor at
 cover positions of both documents, so three positions in seven are hashed and lose no
 match. Anchors found in two documents are extended: only windows around them are hashed
-in full (128 bits) and compared. A document that repeats the whole text of one with a
+in full (96 bits) and compared. A document that repeats the whole text of one with a
 smaller id takes no part, as all its windows occur there.
 
 Rows travel as one per hash and Arrow batch of documents with the ids that hold it, so
@@ -163,12 +163,12 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                     found.append(np.stack([hasher.rolled(words, window, k)[starts] for k in (0, 1)], axis=1))
             out = _rows_by_hash(found, ids)
             pairs = np.asarray(out["h"], np.uint64).reshape(-1, 2)
-            return {"h": _signed(pairs[:, 0]), "h2": _signed(pairs[:, 1]), "doc": out["doc"], "others": out["others"]}
+            return {"h": _signed(pairs[:, 0]), "h2": (pairs[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc": out["doc"], "others": out["others"]}
 
         return rows
 
-    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), *_ROW_ARROW])
-    return map_batches(docs, make, f"h bigint, h2 bigint, {_ROW}", schema)
+    schema = pa.schema([("h", pa.int64()), ("h2", pa.int32()), *_ROW_ARROW])
+    return map_batches(docs, make, f"h bigint, h2 int, {_ROW}", schema)
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -180,12 +180,11 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 def removals(documents: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per id what is to go: hashes of its ``windows`` and digests of whole ``copies``."""
-    known = documents.where(F.col(key).isNotNull())
-    docs = known.select(F.col(key).alias("doc"), utf8(text).alias("text"))
-    digests = known.select(F.col(key).alias("doc"), F.md5(utf8(text)).alias("digest"))
-    copies = _copies(digests)
-    own = digests.join(copies, ["doc", "digest"], "left_anti").select("doc").distinct()
-    anchors = _anchor_rows(docs, window)
+    docs = _texts(documents, key, text)
+    copies = _copies(docs.select("doc", F.md5("text").alias("digest")))
+    by_doc = copies.groupBy("doc").agg(F.collect_set("digest").alias("copies"))
+    own = docs.join(by_doc, "doc", "left").where(~_is_copy()).select("doc", "text")
+    anchors = _anchor_rows(own, window)
     same = Window.partitionBy("h")
     several = F.max(F.col("others").isNotNull()).over(same)
     shared = anchors.select(
@@ -193,8 +192,8 @@ def removals(documents: DataFrame, window: int = WINDOW, key: str = "doc_id", te
     ).where("shared")
     holders = F.concat(F.array("doc"), F.coalesce("others", F.array().cast("array<bigint>")))
     listed = shared.select("h", F.explode(holders).alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("shared"))
-    around = _texts(docs).join(listed.join(own, "doc", "left_semi"), "doc").select("doc", "text", "shared")
-    windows = _window_rows(around, window)
+    around = docs.join(listed, "doc").join(by_doc, "doc", "left").where(~_is_copy())
+    windows = _window_rows(around.select("doc", "text", "shared"), window)
     same = Window.partitionBy("h", "h2")
     judged = windows.select("h", F.min("doc").over(same).alias("first"), F.explode(holders).alias("doc"))
     late = judged.where(F.col("doc") > F.col("first")).select("doc", "h", F.lit(None).cast("string").alias("digest"))
@@ -202,9 +201,13 @@ def removals(documents: DataFrame, window: int = WINDOW, key: str = "doc_id", te
     return both.groupBy("doc").agg(F.collect_list("h").alias("windows"), F.collect_set("digest").alias("copies"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """The shuffle of the texts by id that extension and cut share."""
-    return docs.select("doc", "text")
+def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Ids and texts of all rows with an id; every join by ``doc`` on it shares one shuffle of the texts."""
+    return documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), utf8(text).alias("text"))
+
+
+def _is_copy() -> Column:
+    return F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))
 
 
 _CUT = "struct<n_words:bigint,n_removed:bigint,kept:binary>"
@@ -244,10 +247,12 @@ def dedup_passages(
 ) -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and the kept words joined by spaces (``text``, or ``kept_sha256``)."""
     gone = removals(documents, window, key, text)
-    docs = documents.select(F.col(key).alias("doc"), utf8(text).alias("text"))
-    joined = docs.join(gone, "doc", "left")
-    whole: Column = F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))
-    cut = joined.select(F.col("doc").alias(key), _cutter(window, digest)(F.col("text"), F.col("windows"), whole).alias("c"))
+    joined = _texts(documents, key, text).join(gone, "doc", "left").select("doc", "text", "windows", _is_copy().alias("whole"))
+    nameless = documents.where(F.col(key).isNull()).select(
+        F.col(key).alias("doc"), utf8(text).alias("text"), F.lit(None).cast("array<bigint>").alias("windows"), F.lit(False).alias("whole")
+    )
+    cutter = _cutter(window, digest)(F.col("text"), F.col("windows"), F.col("whole"))
+    cut = joined.unionByName(nameless).select(F.col("doc").alias(key), cutter.alias("c"))
     kept = F.col("c.kept").cast("string").alias("kept_sha256" if digest else text)
     return cut.select(key, "c.n_words", "c.n_removed", kept)
 

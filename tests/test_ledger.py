@@ -156,3 +156,52 @@ def test_queries_in_streamed_batches_equal_one_batch(spark, tmp_path):
     jobs.ledger_stream(stream, out, f"{out}/checkpoint", max_cents=20, refill_cents=1).awaitTermination()
     got = {r["event_id"]: (r["accepted"], r["remaining_units"]) for r in jobs.read_decisions(spark, out).collect()}
     assert got == loop(rows, "hourly", 20, 1)[0]
+
+
+def small_log(spark, rows):
+    found = spark.createDataFrame(rows, "user_id bigint, query_id bigint, at_s bigint, cost_cents bigint")
+    return found.select("user_id", "query_id", F.timestamp_seconds("at_s").alias("ts"), F.lit("count").alias("query_type"), "cost_cents")
+
+
+def test_ids_beyond_double_precision_stay_exact(spark):
+    big = 2**53
+    rows = [(big + 1, big + 7, 0, 10), (big + 2, big + 9, 0, 10), (big + 1, None, 1, 10), (big + 2, big + 11, 1, 10)]
+    folded = ledger.ledger_fold(small_log(spark, rows), max_cents=15)
+    found = {(r["holder"], r["event_id"], r["accepted"]) for r in folded.collect()}
+    assert found == {(big + 1, big + 7, True), (big + 2, big + 9, True), (big + 1, None, False), (big + 2, big + 11, False)}
+
+
+def test_unknown_holders_are_refused(spark):
+    rows = [(None, 1, 0, 1), (5, 2, 0, 1)]
+    with pytest.raises(Exception, match="user_id must not be null"):
+        ledger.ledger_fold(small_log(spark, rows)).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_equal_all_balances(seed):
+    rng = random.Random(seed)
+    top = 1001
+    pieces, plain = ledger._Pieces(top), np.arange(top + 1)
+    for _ in range(60):
+        if rng.random() < 0.4:
+            units = rng.choice([0, 3, 7, 90, top - 1, top, top + 5] if rng.random() < 0.1 else [1, 3, 11])
+            pieces.refill(units)
+            plain = np.minimum(plain + units, top)
+        else:
+            cost = rng.choice([1, 5, 10, 250, 997])
+            pieces.spend(cost)
+            plain = np.where(plain >= cost, plain - cost, plain)
+        packed = pieces.pack()
+        assert [ledger._Pieces.closing(packed, i) for i in range(top + 1)] == plain.tolist()
+
+
+def test_odd_maximum_of_a_dominant_holder(many_partitions):
+    rng = random.Random(5)
+    rows, at = [], 0
+    for i in range(6000):
+        at += rng.choice([1, 60, 1800, 3600, 7000])
+        rows.append((0, at * 1_000_000, ledger.QUERY, i, rng.choice([1, 5, 10, 250])))
+    queries, _ = frames(many_partitions, rows)
+    folded = ledger.ledger_fold(queries, rule="fractional", max_cents=1001)
+    found = {r["event_id"]: (r["accepted"], r["remaining_units"]) for r in folded.collect()}
+    assert found == loop(rows, "fractional", 1001, 1)[0]

@@ -10,24 +10,26 @@ two summaries of the partitions that continue a holder:
   on how long before the partition's first event the last refill was, which
   matters up to one hour. A table over those 3601 whole seconds is the
   partition's effect on the clock.
-* balance: with refills known, a table from every possible opening balance to
-  its closing balance is the partition's effect on the balance.
+* balance: with refills known, a partition maps opening to closing balances piece by
+  piece: on each piece the balance is shifted by an amount or ends at a constant.
+  The few pieces, never all balances, are the partition's effect on the balance.
 
 Chaining the tables of one holder handles one row per partition, not events.
 Holders inside one partition, the usual case, need no summary at all.
 
 Amounts are integers, so results do not depend on summation order. The ledger
-clock ticks in whole seconds.
+clock ticks in whole seconds. Holders must be known: an event without one ends the
+job, since it would escape every budget. Ids stay in Arrow columns, exact at any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -45,6 +47,11 @@ _FOLD_COLUMNS = (
 )
 
 
+def _known(column: str, what: str) -> Column:
+    """A column whose nulls end the job."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"{what} must not be null")))
+
+
 def normalize(
     queries: DataFrame,
     holder: str,
@@ -54,7 +61,7 @@ def normalize(
 ) -> DataFrame:
     """Bring queries, admin resets and opening ledgers into one event table.
 
-    queries: holder, query_id, ts, query_type, cost_cents (positive)
+    queries: holder, query_id, ts, query_type, cost_cents (positive); holder and ts not null
     resets:  holder, reset_id, ts, max_cents
     opening: holder, max_cents, remaining_units, last_refill_s (a former fold's ledgers)
     """
@@ -63,9 +70,10 @@ def normalize(
     cost = F.when(F.col("cost_cents") > 0, F.col("cost_cents")).otherwise(
         F.raise_error(F.lit("cost_cents must be positive"))
     )
-    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    moment = F.unix_micros(_known("ts", "ts").cast("timestamp"))
+    who = _known(holder, holder)
     events = queries.select(
-        F.col(holder).alias("holder"),
+        who.alias("holder"),
         moment.alias("at_us"),
         F.lit(QUERY).alias("kind"),
         F.col("query_id").alias("event_id"),
@@ -78,13 +86,13 @@ def normalize(
     if resets is not None:
         events = events.unionByName(
             resets.select(
-                F.col(holder).cast(holder_type).alias("holder"),
+                who.cast(holder_type).alias("holder"),
                 moment.alias("at_us"),
                 F.lit(RESET).alias("kind"),
                 F.col("reset_id").cast(id_type).alias("event_id"),
                 F.lit(None).cast("string").alias("query_type"),
-                F.col("max_cents").cast("bigint").alias("cents"),
-                (F.col("max_cents").cast("bigint") * per_cent).alias("set_units"),
+                _known("max_cents", "max_cents").cast("bigint").alias("cents"),
+                (_known("max_cents", "max_cents").cast("bigint") * per_cent).alias("set_units"),
                 F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"),
             )
         )
@@ -164,19 +172,21 @@ class _Fold:
         return True, refill, before
 
 
+_ADDED = [
+    ("accepted", pa.bool_()), ("refill_units", pa.int64()), ("before_units", pa.int64()),
+    ("remaining_units", pa.int64()), ("max_cents", pa.int64()), ("last_refill_s", pa.int64()),
+]
+
+
 def _fold_partition(
-    batches: Iterator[pd.DataFrame], rule: str, default_max: int, rate: int, opened: dict
-) -> Iterator[pd.DataFrame]:
+    batches: Iterator[pa.RecordBatch], rule: str, default_max: int, rate: int, opened: dict
+) -> Iterator[pa.RecordBatch]:
     """Fold one sorted partition; ``opened`` holds the state a partition starts from."""
     fold, holder, first = _Fold(rule, default_max, rate), None, True
-    for pdf in batches:
-        if pdf.empty:
-            continue
+    for batch in batches:
         out = []
-        for who, kind, at, cents, units, part in zip(
-            pdf["holder"].tolist(), pdf["kind"].tolist(), pdf["at_s"].tolist(),
-            pdf["cents"].tolist(), pdf["set_units"].tolist(), pdf["_part"].tolist(),
-        ):
+        needed = ("holder", "kind", "at_s", "cents", "set_units", "_part")
+        for who, kind, at, cents, units, part in zip(*(batch.column(n).to_pylist() for n in needed)):
             if first or who != holder:
                 if first and part in opened:
                     fold.restore(*opened[part])
@@ -190,12 +200,11 @@ def _fold_partition(
                 fold.set(at, cents, units)
                 accepted, refill = None, units - before
             out.append((accepted, refill, before, fold.units, fold.max, fold.last))
-        added = pd.DataFrame(
-            out,
-            columns=["accepted", "refill_units", "before_units", "remaining_units", "max_cents", "last_refill_s"],
-        )
-        added["accepted"] = added["accepted"].astype("boolean")
-        yield pd.concat([pdf.drop(columns=["_part", "_row"]).reset_index(drop=True), added], axis=1)
+        kept = [n for n in batch.schema.names if n not in ("_part", "_row")]
+        added = zip(*out) if out else [()] * len(_ADDED)
+        columns = {n: batch.column(n) for n in kept}
+        columns |= {n: pa.array(values, t) for (n, t), values in zip(_ADDED, added)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 # ------------------------------------------------------------------ summaries
@@ -255,10 +264,70 @@ def _segment_clock(rule: str, seg: pd.DataFrame, max_cents: int, begins: bool) -
     return {**result, "last_s": 0, "fresh": False, "table": plain, "table_fresh": after_first}
 
 
+class _Pieces:
+    """A map from opening balances 0 to ``top`` to balances, piece by piece.
+
+    From each start on, up to the next, the balance is the opening plus ``value``, or
+    ``value`` itself where ``fixed``.
+    """
+
+    def __init__(self, top: int):
+        self.top = top
+        self.start, self.fixed, self.value = np.zeros(1, np.int64), np.zeros(1, bool), np.zeros(1, np.int64)
+
+    def _split(self, balance: int) -> None:
+        """Cut the pieces in which the balance passes this amount."""
+        last = np.append(self.start[1:], self.top + 1) - 1
+        at = balance - self.value  # the opening that now stands at the balance
+        inside = ~self.fixed & (at > self.start) & (at <= last)
+        if inside.any():
+            where = np.flatnonzero(inside) + 1
+            self.start = np.insert(self.start, where, at[inside])
+            self.fixed = np.insert(self.fixed, where, False)
+            self.value = np.insert(self.value, where, self.value[inside])
+
+    def _now(self) -> np.ndarray:
+        """The balance at the start of each piece."""
+        return np.where(self.fixed, self.value, self.start + self.value)
+
+    def _merge(self) -> None:
+        same = (self.fixed[1:] == self.fixed[:-1]) & (self.value[1:] == self.value[:-1])
+        keep = np.concatenate(([True], ~same))
+        self.start, self.fixed, self.value = self.start[keep], self.fixed[keep], self.value[keep]
+
+    def refill(self, units: int) -> None:
+        if units >= self.top:  # everybody is full
+            self.__init__(self.top)
+            self.fixed[:], self.value[:] = True, self.top
+            return
+        self._split(self.top - units)
+        full = self._now() >= self.top - units
+        self.value = np.where(full, self.top, self.value + units)
+        self.fixed = self.fixed | full
+        self._merge()
+
+    def spend(self, units: int) -> None:
+        self._split(units)
+        self.value = np.where(self._now() >= units, self.value - units, self.value)
+        self._merge()
+
+    def pack(self) -> bytes:
+        numbers = ([self.start.size], self.start, self.fixed, self.value)
+        return np.concatenate([np.asarray(n, np.int64) for n in numbers]).tobytes()
+
+    @staticmethod
+    def closing(packed: bytes, opening: int) -> int:
+        numbers = np.frombuffer(packed, np.int64)
+        n = int(numbers[0])
+        piece = int(np.searchsorted(numbers[1 : 1 + n], opening, side="right")) - 1
+        value = int(numbers[1 + 2 * n + piece])
+        return value if numbers[1 + n + piece] else opening + value
+
+
 def _segment_balance(
     rule: str, seg: pd.DataFrame, entry: tuple | None, default_max: int, rate: int
-) -> tuple[int | None, bytes, int]:
-    """A segment's closing balance, or its table from opening to closing balance, and the table's step."""
+) -> tuple[int | None, bytes]:
+    """A segment's closing balance, or its pieces from opening to closing balance."""
     sets = np.flatnonzero(seg["kind"].to_numpy() != QUERY)
     if sets.size or entry is None:
         fold = _Fold(rule, default_max, rate)
@@ -270,34 +339,27 @@ def _segment_balance(
             fold.create(int(seg["at_s"].iloc[0]))
         for at, cents in zip(seg["at_s"].tolist(), seg["cents"].tolist()):
             fold.query(at, cents)
-        return fold.units, b"", 1
+        return fold.units, b""
     last, fresh, max_cents = entry
     unit = UNITS_PER_CENT[rule]
-    # every amount since the last reset is a multiple of this step
-    step = gcd(unit, max_cents) if rule == "fractional" else 1
-    top = max_cents * unit // step
-    balance, origin = np.arange(top + 1), np.arange(top + 1)
-    for i, (at, cents) in enumerate(zip(seg["at_s"].tolist(), seg["cents"].tolist())):
+    pieces = _Pieces(max_cents * unit)
+    for at, cents in zip(seg["at_s"].tolist(), seg["cents"].tolist()):
         if _ignored(rule, cents, max_cents):
             continue
         elapsed = at - last
         if _clock_moves(rule, elapsed, fresh):
-            balance = np.minimum(balance + _refill(rule, elapsed, fresh, max_cents, rate) // step, top)
+            pieces.refill(_refill(rule, elapsed, fresh, max_cents, rate))
             last = at
         fresh = False
-        cost = cents * unit // step
-        balance = np.where(balance >= cost, balance - cost, balance)
-        if i % 256 == 0:  # openings that have met stay together
-            balance, merged = np.unique(balance, return_inverse=True)
-            origin = merged[origin]
-    return None, _pack(balance[origin]), step
+        pieces.spend(cents * unit)
+    return None, pieces.pack()
 
 
 _CLOCK_SCHEMA = (
     "holder {h}, part bigint, first_s bigint, touched boolean, known boolean, last_s bigint, "
     "fresh boolean, `table` binary, table_fresh binary"
 )
-_BALANCE_SCHEMA = "holder {h}, part bigint, units bigint, `table` binary, step bigint"
+_BALANCE_SCHEMA = "holder {h}, part bigint, units bigint, `table` binary"
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> dict:
@@ -362,8 +424,8 @@ def _opening_states(placed: DataFrame, rule: str, default_max: int, rate: int) -
     def balance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, seg in _segments(batches).items():
             entry = None if begins[key][1] else entries[key]
-            units, table, step = _segment_balance(rule, seg, entry, default_max, rate)
-            row = {"holder": key[0], "part": key[1], "units": units, "table": table, "step": step}
+            units, table = _segment_balance(rule, seg, entry, default_max, rate)
+            row = {"holder": key[0], "part": key[1], "units": units, "table": table}
             yield pd.DataFrame([row]).astype({"units": "Int64"})
 
     def chain_balance(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -371,7 +433,7 @@ def _opening_states(placed: DataFrame, rule: str, default_max: int, rate: int) -
         for r in pdf.sort_values("part").itertuples():
             out.append((r.holder, r.part, units))
             if len(r.table):
-                units = _look_up(r.table, units // r.step) * r.step
+                units = _Pieces.closing(r.table, units)
             else:
                 units = int(r.units)
         return pd.DataFrame(out, columns=["holder", "part", "units"])
@@ -408,10 +470,10 @@ def fold_events(
     opened = _opening_states(placed, rule, max_cents, refill_cents)
     schema = ", ".join(f"{n} {t}" for n, t in placed.dtypes if n not in ("_part", "_row"))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _fold_partition(batches, rule, max_cents, refill_cents, opened)
 
-    return placed.mapInPandas(decide, f"{schema}, {_FOLD_COLUMNS}")
+    return placed.mapInArrow(decide, f"{schema}, {_FOLD_COLUMNS}")
 
 
 def epsilon(units: str, rule: str = "hourly"):

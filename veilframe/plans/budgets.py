@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import ledger, reports, teams as team_ops
+from ..session import materialize
 from .base import (
     LOG_SQL, MAX_CENTS, MEMBERSHIPS_SQL, REFILL_CENTS, TEAMS_SQL, memberships, query, query_log, table, teams,
 )
@@ -150,8 +151,8 @@ _LEDGER = (
 
 
 def _ledgers(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(ledgers, transactions) of the query log."""
-    folded = _fold(spark, sf)
+    """(ledgers, transactions) of the query log, from one stored fold."""
+    folded = materialize(_fold(spark, sf))
     return ledger.ledger_table(folded), ledger.transactions(folded)
 
 

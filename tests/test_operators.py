@@ -280,10 +280,83 @@ def test_guarded_sql_refuses(spark, text):
         tables.guarded_sql(spark, text)
 
 
-def test_guarded_sql_caps_unless_limited(spark):
+def test_guarded_sql_reads_everything_unless_capped_in_order(spark):
     spark.range(500).createOrReplaceTempView("many")
-    assert tables.guarded_sql(spark, "SELECT id FROM many;").count() == 100
+    assert tables.guarded_sql(spark, "SELECT id FROM many;").count() == 500
     assert tables.guarded_sql(spark, "SELECT id FROM many LIMIT 300").count() == 300
+    with pytest.raises(ValueError):
+        tables.guarded_sql(spark, "SELECT id FROM many", cap=3)
+    first = tables.guarded_sql(spark, "SELECT id FROM many", cap=3, order_by=["id"])
+    assert sorted(r.id for r in first.collect()) == [0, 1, 2]
+
+
+def test_layout_is_decided_per_file(spark, tmp_path):
+    household, person = "H" * 128, "P" * 300
+    (tmp_path / "a.txt").write_bytes(("\n" + household + "\n").encode("latin-1"))
+    (tmp_path / "b.txt").write_bytes((person + "\n" + "Ö" * 300 + "\n").encode("latin-1"))
+    both = files.read_fixed_width(spark, str(tmp_path))
+    rows = {(r["FILE_ID"], r["HH_SIZE"], r["AGE"]) for r in both.collect()}
+    assert rows == {("HHHHH", "HH", None), ("PPPPP", None, "PPP"), ("ÖÖÖÖÖ", None, "ÖÖÖ")}
+    alone = files.read_fixed_width(spark, str(tmp_path / "a.txt"))
+    assert alone.columns == [f.name for f in files.household_layout()]
+
+
+# ------------------------------------------------------------------ nothing lost, nothing leaked
+def test_unlisted_columns_are_not_released(spark):
+    df = spark.createDataFrame([(i, f"u{i}@x.org", f"Name {i}") for i in range(20)], "id long, email string, full_name string")
+    released, plan = privatize.privatize(df, "s", "id", columns=["id", "email"])
+    assert released.columns == ["id", "email"]
+    kept = privatize.apply_plan(df, plan, "s", "id", keep=["full_name"])
+    assert kept.columns == df.columns
+
+
+def test_null_row_keys_are_refused(spark):
+    df = spark.createDataFrame([(None, 5), (1, 6)], "id long, age int")
+    with pytest.raises(Exception, match="must not be null"):
+        privatize.privatize(df, "s", "id")[0].collect()
+
+
+def test_dotted_column_names(spark):
+    df = spark.createDataFrame([(i, f"c{i % 7}", '{"name": "x"}', i * 1.0) for i in range(30)], "id long, `a.b` string, `d.data` string, `n.o` double")
+    treated = anonymize.k_anonymize(df, "a.b", 10, "s", "id")
+    assert treated.columns == df.columns and treated.count() == 30
+    assert anonymize.generalize_categories(df, "a.b").columns == df.columns
+    assert anonymize.release_numeric(df, "n.o", "s", "id").count() == 30
+    assert json_rewrite.anonymize_json(df, "d.data", "s", "id").columns == df.columns
+    assert privatize.privatize(df, "s", "id")[0].columns == df.columns
+
+
+def test_whole_decimals_score_like_integers(spark):
+    whole = spark.createDataFrame([(9876543210, 30)], "phone long, age int")
+    decimals = whole.selectExpr("CAST(phone AS DECIMAL(10,0)) AS phone", "CAST(age AS DECIMAL(3,0)) AS age")
+    score = [risk.dataset_risk(df).select("risk_score").first()[0] for df in (whole, decimals)]
+    assert score[0] == score[1] > 0
+
+
+def test_nan_is_unknown_to_dp(spark):
+    nan = float("nan")
+    with_nan = spark.createDataFrame([(1.0,), (nan,), (3.0,), (None,)], "x double")
+    without = spark.createDataFrame([(1.0,), (3.0,)], "x double")
+    for kind in ("count", "mean", "sum", "variance"):
+        found = [dp.dp_aggregate(df, "x", kind, 0.0, 10.0, "s", "q").first()["result"] for df in (with_nan, without)]
+        assert found[0] == found[1]
+
+
+def test_unknown_scores_keep_their_row(spark):
+    scores = spark.createDataFrame([("a", 80.0), ("b", None)], "who string, risk_score double")
+    checked = policy.compliance(scores)
+    known = checked.where("who = 'a'").count()
+    unknown = checked.where("who = 'b'").collect()
+    assert known == len(unknown) > 0
+    assert all(r["is_compliant"] is None and r["issues"] is None for r in unknown)
+
+
+def test_release_summary_checks_every_sensitive_column(spark):
+    df = spark.createDataFrame([(i % 3, i, 1) for i in range(12)], "q int, varied int, uniform int")
+    plan = privatize.PrivacyPlan(50, privatize.Decimal(1), 5, False, 12, l_diversity=True)
+    kinds = [("q", "quasi_identifier"), ("varied", "sensitive"), ("uniform", "sensitive")]
+    plan.columns = [privatize.ColumnPlan(n, i, t, "", "", "none", False) for i, (n, t) in enumerate(kinds)]
+    assert privatize.release_summary(df, df, plan).first()["l_violations"] == 3
 
 
 # ------------------------------------------------------------------ layouts
@@ -298,3 +371,20 @@ def test_latin1_and_crlf_lines(spark, tmp_path):
     layout = files.widths_layout([("a", 2), ("b", 3), ("c", 3)])
     rows = files.read_fixed_width(spark, str(tmp_path / "f.txt"), layout).collect()
     assert [tuple(r) for r in rows] == [("AB", "é", "x"), ("CD", "", "")]
+
+
+def test_json_keeps_its_shape(spark):
+    documents = [
+        '{"VOID":"secretname","a":null,"name":"Bob"}',
+        '{"Name":"Ann","name":"Bob","k":1,"OBJECT":{"x":true}}',
+        '{"k":"free","list":[1,null,"t"],"it\'s":"v"}',
+        '{"k":{"inner":"x"},"list":[],"empty":{}}',
+    ]
+    df = spark.createDataFrame(list(enumerate(documents)), "id long, d string")
+    rows = {r.id: json.loads(r.d) for r in json_rewrite.anonymize_json(df, "d", "s", "id").collect()}
+    for i, text in enumerate(documents):
+        assert list(sorted(rows[i])) == sorted(json.loads(text))
+    assert rows[0]["a"] is None and len(rows[0]["VOID"]) == 10 and rows[0]["name"].startswith("Person_")
+    assert rows[1]["Name"].startswith("Person_") and isinstance(rows[1]["k"], int)
+    assert rows[2]["k"] == "free" and rows[2]["list"][1] is None and isinstance(rows[2]["list"][0], int)
+    assert isinstance(rows[3]["k"], str) and "inner" not in rows[3]["k"] and rows[3]["empty"] == {}

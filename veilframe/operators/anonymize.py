@@ -30,51 +30,55 @@ def k_anonymize(
     ``source`` may name an earlier frame with the same values of ``column``,
     to count them without the work done on the other columns since.
     """
-    values = (source if source is not None else df).where(F.col(column).isNotNull())
-    counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    categories = with_position(counts, [column], "_target")
+    value = F.col(f"`{column}`")
+    values = (source if source is not None else df).where(value.isNotNull()).select(value.alias("_value"))
+    counts = values.groupBy("_value").agg(F.count(F.lit(1)).alias("n"))
+    categories = with_position(counts, ["_value"], "_target")
     rows, total, text_bytes = categories.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.sum(skew.text_size(F.col(column)))
+        F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.sum(skew.text_size(F.col("_value")))
     ).first()
     if rows == 0:
         return df
 
-    hexdigest = keyed.digest(secret, "k_anonymity", column, F.col(key))
+    hexdigest = keyed.digest(secret, "k_anonymity", column, F.col(f"`{key}`"))
     coin_lost = F.coalesce(keyed.uniform_of(hexdigest, 0) >= p, F.lit(False))
     target = F.floor(keyed.uniform_of(hexdigest, 1) * F.lit(rows)).cast("bigint")
-    names = df.columns
-    other = categories.select(F.col(column).alias("_other"), "_target")
-    rare = categories.where(F.col("n") < k).select(column, F.lit(True).alias("_rare"))
+    names = [F.col(f"`{n}`") for n in df.columns]
+    changed = [F.coalesce("_other", "_value").alias(n) if n == column else F.col(f"`{n}`") for n in df.columns]
+    with_value = df.withColumn("_value", value)
+    other = categories.select(F.col("_value").alias("_other"), "_target")
+    rare = categories.where(F.col("n") < k).select("_value", F.lit(True).alias("_rare"))
 
     if skew.fits_broadcast(rows, text_bytes):
-        marked = df.join(F.broadcast(rare), column, "left")
+        marked = with_value.join(F.broadcast(rare), "_value", "left")
         marked = marked.withColumn("_target", F.when(F.col("_rare") & coin_lost, target))
         replaced = marked.join(F.broadcast(other), "_target", "left")
-        return replaced.withColumn(column, F.coalesce("_other", column)).select(*names)
+        return replaced.select(*changed)
 
     # Rows that win the coin, and rows of a common value, stay as they are without a shuffle.
     common = skew.heavy_values(categories, total).where(F.col("n") >= k)
-    marked = df.join(F.broadcast(common.select(column, F.lit(True).alias("_common"))), column, "left")
-    needs_look = coin_lost & F.col(column).isNotNull() & F.col("_common").isNull()
+    marked = with_value.join(F.broadcast(common.select("_value", F.lit(True).alias("_common"))), "_value", "left")
+    needs_look = coin_lost & F.col("_value").isNotNull() & F.col("_common").isNull()
     unchanged = marked.where(~needs_look).select(*names)
-    looked = marked.where(needs_look).join(rare, column, "left")
+    looked = marked.where(needs_look).join(rare, "_value", "left")
     # values that turn out not to be rare match no category; their keys are spread, not null
-    nowhere = -F.lit(1) - F.pmod(F.xxhash64(F.col(key)), F.lit(2**31))
+    nowhere = -F.lit(1) - F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(2**31))
     looked = looked.withColumn("_target", F.when(F.col("_rare"), target).otherwise(nowhere))
-    replaced = looked.join(other, "_target", "left").withColumn(column, F.coalesce("_other", column))
-    return unchanged.unionByName(replaced.select(*names))
+    replaced = looked.join(other, "_target", "left").select(*changed)
+    return unchanged.unionByName(replaced)
 
 
 def generalize_categories(df: DataFrame, column: str, limit: int = K.CATEGORY_LIMIT) -> DataFrame:
     """``[CATEGORY]`` everywhere when the column has more than ``limit`` values."""
-    distinct = df.agg(F.countDistinct(column).alias("d")).scalar()
-    return df.withColumn(column, masks.generalize_category(F.col(column), distinct, limit))
+    value = F.col(f"`{column}`")
+    distinct = df.agg(F.countDistinct(value).alias("d")).scalar()
+    return df.withColumn(column, masks.generalize_category(value, distinct, limit))
 
 
 def bucket_equal_width(df: DataFrame, column: str, name: str, buckets: int = 10) -> DataFrame:
     """Add the midpoint of the value's equal-width bucket."""
-    bounds = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("b")).scalar()
-    value = F.col(column).cast("double")
+    bounds = df.agg(F.struct(F.min(f"`{column}`").alias("low"), F.max(f"`{column}`").alias("high")).alias("b")).scalar()
+    value = F.col(f"`{column}`").cast("double")
     low, high = bounds["low"].cast("double"), bounds["high"].cast("double")
     return df.withColumn(name, ranges.equal_width(value, low, high, buckets))
 
@@ -82,9 +86,9 @@ def bucket_equal_width(df: DataFrame, column: str, name: str, buckets: int = 10)
 def release_numeric(df: DataFrame, column: str, secret: str, key: str, name: str | None = None) -> DataFrame:
     """Noise on a number column; an all-zero column is left as it is."""
     name = name or column
-    nonzero = df.agg(F.max(F.col(column) != 0).alias("nz")).scalar()
-    released = randomized.numeric_release(F.col(column), name, secret, F.col(key))
-    unchanged = F.col(column).cast("double" if parse.has_any(name, K.ROUNDED_WORDS) else "bigint")
+    nonzero = df.agg(F.max(F.col(f"`{column}`") != 0).alias("nz")).scalar()
+    released = randomized.numeric_release(F.col(f"`{column}`"), name, secret, F.col(f"`{key}`"))
+    unchanged = F.col(f"`{column}`").cast("double" if parse.has_any(name, K.ROUNDED_WORDS) else "bigint")
     return df.withColumn(column, F.when(nonzero, released).otherwise(unchanged))
 
 

@@ -56,9 +56,10 @@ def effective_epsilon(query_type: str, degradation: float = 1.0) -> float:
 
 
 def clip(c: Column, lower: float, upper: float) -> Column:
-    """The value moved into [lower, upper]; unknown stays unknown."""
-    moved = F.least(F.greatest(c.cast("double"), F.lit(float(lower))), F.lit(float(upper)))
-    return F.when(c.isNotNull(), moved)
+    """The value moved into [lower, upper]; null and NaN are unknown."""
+    value = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    moved = F.least(F.greatest(value, F.lit(float(lower))), F.lit(float(upper)))
+    return F.when(value.isNotNull(), moved)
 
 
 def _statistics(c: Column, lower: float, upper: float) -> list[Column]:
@@ -69,9 +70,10 @@ def _statistics(c: Column, lower: float, upper: float) -> list[Column]:
     """
     middle = (lower + upper) / 2.0
     centred = clip(c, lower, upper) - F.lit(middle)
+    known = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     return [
-        F.count(c).alias("_n"),
-        F.count_if(c != 0).alias("_nonzero"),
+        F.count(known).alias("_n"),
+        F.count_if(known != 0).alias("_nonzero"),
         F.coalesce(F.sum(clip(c, lower, upper)), F.lit(0.0)).alias("_sum"),
         F.avg(clip(c, lower, upper)).alias("_mean"),
         F.coalesce(F.avg(centred * centred) - F.avg(centred) * F.avg(centred), F.lit(0.0)).alias("_var"),

@@ -1,7 +1,12 @@
 """Anonymization inside JSON documents.
 
-The schema is found by a distributed aggregate, then one expression per leaf
-is generated by walking it, so the rewrite is a projection without Python.
+The schema is found by a distributed aggregate; then one expression per key is generated
+by walking it and the document is written anew, so the rewrite is a projection without
+Python. Values are read as variants by their exact keys: absent keys stay absent, explicit
+nulls stay null, keys that differ in case stay apart, and a key that holds values of several
+types has each of them treated by its own type (lists and objects there are hashed as
+text). The plan grows with the number of different keys, so documents whose keys are data
+themselves (ids, for example) need to be turned into lists first.
 """
 
 from __future__ import annotations
@@ -17,13 +22,31 @@ from ..functions import keyed, masks, parse
 from ..functions.randomized import pool_noise
 
 
+# A type stands after a colon, or as a list's element; elsewhere the same word is a key.
+_TYPE_AT = r"(?:(?<=: )|(?<=ARRAY<)|(?<=^))"
+
+
+def infer_types(df: DataFrame, column: str) -> T.DataType:
+    """Union schema of all documents of a JSON text column (one aggregate, no sampling).
+
+    Keys with values of several types are VARIANT, keys that are always null VOID.
+    """
+    parsed = F.try_parse_json(F.col(f"`{column}`"))
+    found = df.agg(F.schema_of_variant_agg(parsed).alias("s")).first()["s"] or "VOID"
+    return T._parse_datatype_string(re.sub(_TYPE_AT + "OBJECT<", "STRUCT<", found))
+
+
 def infer_schema(df: DataFrame, column: str) -> T.DataType:
-    """Union schema of all documents of a JSON text column (one aggregate, no sampling)."""
-    found = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"]
-    ddl = found.replace("OBJECT<", "STRUCT<")
-    # a key with values of several types is kept as text
-    ddl = re.sub(r"\bVARIANT\b|\bVOID\b", "STRING", ddl)
-    return T._parse_datatype_string(ddl)
+    """The union schema for reading rows: keys of several types and null keys are text."""
+
+    def plain(t: T.DataType) -> T.DataType:
+        if isinstance(t, T.StructType):
+            return T.StructType([T.StructField(f.name, plain(f.dataType)) for f in t.fields])
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(plain(t.elementType))
+        return T.StringType() if isinstance(t, (T.VariantType, T.NullType)) else t
+
+    return plain(infer_types(df, column))
 
 
 def _rewrite_text(c: Column, key: str, secret: str, row_key: Column) -> Column:
@@ -79,20 +102,65 @@ def rewrite(c: Column, data_type: T.DataType, secret: str, row_key: Column, key:
     return c
 
 
-def anonymize_json(df: DataFrame, column: str, secret: str, key: str, schema: T.DataType | None = None) -> DataFrame:
-    """Rewrite a JSON text column, or a struct or list column; text that is no JSON is hashed.
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-    Keys that are absent from a document stay absent.
-    """
+
+def _member(v: Column, name: str) -> Column:
+    """The value under a key, absent as null."""
+    for quote in "'", '"':
+        if quote not in name and "\\" not in name:
+            return F.try_variant_get(v, f"$[{quote}{name}{quote}]", "variant")
+    return F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), name)
+
+
+def _document(v: Column, t: T.DataType, secret: str, row_key: Column, key: str, path: str) -> Column:
+    """The JSON text of a variant with its values anonymized; null where the variant is absent."""
+    located = F.concat(row_key, F.lit(f"|{path}"))
+    if isinstance(t, T.StructType):
+        members = []
+        for f in t.fields:
+            child = _member(v, f.name)
+            inner = _document(child, f.dataType, secret, row_key, f.name.lower(), f"{path}.{f.name}")
+            members.append(F.when(child.isNotNull(), F.concat(_quoted(F.lit(f.name)), F.lit(":"), inner)))
+        text = F.concat(F.lit("{"), F.array_join(F.array(*members) if members else F.array().cast("array<string>"), ","), F.lit("}"))
+    elif isinstance(t, T.ArrayType):
+        items = F.transform(
+            F.try_variant_get(v, "$", "array<variant>"),
+            lambda item, i: F.coalesce(
+                _document(item, t.elementType, secret, F.concat(row_key, F.lit("|"), i.cast("string")), key, f"{path}[]"),
+                F.lit("null"),
+            ),
+        )
+        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    elif isinstance(t, T.StringType):
+        text = _quoted(_rewrite_text(F.try_variant_get(v, "$", "string"), key, secret, located))
+    elif isinstance(t, T.BooleanType):
+        text = pool_noise(F.try_variant_get(v, "$", "boolean").cast("int").cast("double"), key, secret, located).cast("string")
+    elif isinstance(t, T.NumericType):
+        text = pool_noise(F.try_variant_get(v, "$", "double"), key, secret, located).cast("string")
+    elif isinstance(t, T.VariantType):
+        kind = F.schema_of_variant(v)
+        text = F.when(kind == "STRING", _document(v, T.StringType(), secret, row_key, key, path))
+        text = text.when(kind == "BOOLEAN", _document(v, T.BooleanType(), secret, row_key, key, path))
+        text = text.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _document(v, T.DoubleType(), secret, row_key, key, path))
+        text = text.otherwise(_quoted(masks.hash_keep_length(F.to_json(v))))
+    else:
+        text = F.lit("null")
+    return F.when(F.is_variant_null(v), F.lit("null")).when(v.isNotNull(), text)
+
+
+def anonymize_json(df: DataFrame, column: str, secret: str, key: str, schema: T.DataType | None = None) -> DataFrame:
+    """Rewrite a JSON text column, or a struct or list column; text that is no JSON is hashed."""
     nested = df.schema[column].dataType
+    value, row_key = F.col(f"`{column}`"), F.col(f"`{key}`").cast("string")
     if isinstance(nested, (T.StructType, T.ArrayType)):
-        return df.withColumn(column, rewrite(F.col(column), nested, secret, F.col(key).cast("string")))
-    schema = schema or infer_schema(df, column)
-    text = F.col(column)
-    if not isinstance(schema, (T.StructType, T.ArrayType)):
-        return df.withColumn(column, masks.hash_keep_length(text))
-    document = F.from_json(text, schema)
-    row_key = F.col(key).cast("string")
-    rewritten = F.to_json(rewrite(document, schema, secret, row_key))
-    valid = F.try_parse_json(text).isNotNull()
-    return df.withColumn(column, F.when(valid, rewritten).otherwise(masks.hash_keep_length(text)))
+        return df.withColumn(column, rewrite(value, nested, secret, row_key))
+    schema = schema or infer_types(df, column)
+    if not isinstance(schema, (T.StructType, T.ArrayType, T.VariantType)):
+        return df.withColumn(column, masks.hash_keep_length(value))
+    parsed = F.try_parse_json(value)
+    rewritten = _document(parsed, schema, secret, row_key, "", "$")
+    return df.withColumn(column, F.when(parsed.isNotNull(), rewritten).otherwise(masks.hash_keep_length(value)))

@@ -78,7 +78,11 @@ def compliance(scores: DataFrame, policies: DataFrame | None = None, score: str
     for start, *_ in K.RISK_BANDS:
         hit = F.col(score) >= start
         band = F.when(hit, start) if band is None else band.when(hit, start)
-    joined = scores.withColumn("from_score", band).join(F.broadcast(listed), "from_score")
+    # an unknown score meets every policy too, without a band to hold it to
+    plain = policies.select("*", F.lit(None).cast("int").alias("from_score"))
+    listed = listed.unionByName(plain, allowMissingColumns=True)
+    joined = scores.withColumn("_band", band).join(F.broadcast(listed), F.col("_band").eqNullSafe(F.col("from_score")))
+    joined = joined.drop("_band")
     issues = F.array_compact(
         F.array(
             F.when(
@@ -97,7 +101,9 @@ def compliance(scores: DataFrame, policies: DataFrame | None = None, score: str
             ),
         )
     )
-    return joined.withColumn("issues", issues).withColumn("is_compliant", F.size("issues") == 0)
+    known = F.col(score).isNotNull()
+    issues = F.when(known, issues)
+    return joined.withColumn("issues", issues).withColumn("is_compliant", F.when(known, F.size("issues") == 0))
 
 
 def column_rule_check(classified: DataFrame) -> DataFrame:

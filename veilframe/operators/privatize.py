@@ -86,8 +86,12 @@ def guarantee_level(epsilon: Decimal) -> str:
     return "Basic"
 
 
-def treatment_of(name: str, kind: str, effective: str, rows: int) -> str:
-    """Treatment of a column by its type and, for quasi-identifiers, its name."""
+def treatment_of(name: str, kind: str, effective: str, rows: int, small: int = 0) -> str:
+    """Treatment of a column by its type and, for quasi-identifiers, its name.
+
+    Tables of fewer than ``small`` rows have their categories generalized instead of
+    made k-anonymous.
+    """
     if name == "data":
         return "json"
     if effective == "numeric":
@@ -98,7 +102,7 @@ def treatment_of(name: str, kind: str, effective: str, rows: int) -> str:
                 return treatment
         return "k_anonymity"
     if effective == "categorical":
-        return "k_anonymity" if rows >= K.SMALL_DATASET_ROWS else "category"
+        return "k_anonymity" if rows >= small else "category"
     if effective == "temporal":
         return "date"
     if effective == "geospatial":
@@ -114,9 +118,14 @@ def plan_privacy(
     columns: list[str] | None = None,
     distinct: str = "exact",
     sample_by: list[str] | None = None,
+    small: int = 0,
 ) -> PrivacyPlan:
     """Profile the table and decide every column's treatment.
 
+    ``columns`` names what is to be released; the others get no plan, and no release.
+    ``small`` (``K.SMALL_DATASET_ROWS`` is the customary number) sets apart tables of
+    fewer rows, see ``treatment_of``; by default tables of any size are treated alike.
+
     ``compat='risk'`` takes epsilon and k from the risk score alone;
     ``'policy'`` tightens them to the named policy as well.
     """
@@ -134,11 +143,12 @@ def plan_privacy(
     if compat == "policy":
         epsilon = min(epsilon, Decimal(str(chosen.epsilon)))
         k = max(k, chosen.k)
-    rows = df.count() if max((r["n"] for r in found.values()), default=0) < K.SMALL_DATASET_ROWS else K.SMALL_DATASET_ROWS
+    rows = max((r["n"] for r in found.values()), default=0)
+    rows = df.count() if rows < small else rows
     plan = PrivacyPlan(risk_score, epsilon, k, strict, rows, l_diversity=compat == "risk" or chosen.l_diversity)
     for position, name in enumerate(columns):
         r = found[name]
-        treatment = treatment_of(name, r["type"], r["effective_type"], rows) if r["n"] else "none"
+        treatment = treatment_of(name, r["type"], r["effective_type"], rows, small) if r["n"] else "none"
         nonzero = r["m_nonzero"] > 0
         plan.columns.append(
             ColumnPlan(name, position, r["type"], r["sensitivity"], r["mechanism"], treatment, nonzero)
@@ -159,7 +169,7 @@ def value_expression(c: ColumnPlan, data_type: str, secret: str, key: str) -> Co
         if not c.nonzero:
             return value
         number = parse.number_or_null(value, data_type)
-        return numeric_release(number, c.column, secret, F.col(key))
+        return numeric_release(number, c.column, secret, F.col(f"`{key}`"))
     if c.treatment in ("json", "k_anonymity", "category"):
         return None
     apply = {
@@ -175,31 +185,38 @@ def value_expression(c: ColumnPlan, data_type: str, secret: str, key: str) -> Co
     return apply[c.treatment](text)
 
 
-def apply_plan(df: DataFrame, plan: PrivacyPlan, secret: str, key: str) -> DataFrame:
+def apply_plan(
+    df: DataFrame, plan: PrivacyPlan, secret: str, key: str, keep: list[str] | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Apply a plan; ``key`` names the row key that drives the noise.
 
     The row key itself may be treated too: its original is carried along until
-    the last column is done.
+    the last column is done. Rows without a key end the job, as their noise could not
+    be drawn; rows that share a key share their noise. Columns without a plan are left
+    out, except those that ``keep`` lists to be released as they are. ``source`` may name
+    the whole table when ``df`` holds some of its rows.
     """
     types = dict(df.dtypes)
     by_value = []
     whole_column = []
     planned = {c.column: c for c in plan.columns}
-    for name in df.columns:
+    released = [n for n in df.columns if n in planned or n in (keep or [])]
+    for name in released:
         expression = value_expression(planned[name], types[name], secret, key) if name in planned else F.col(f"`{name}`")
         if expression is None:
             whole_column.append(planned[name])
             expression = F.col(f"`{name}`")
         by_value.append(expression.alias(name))
-    result = df.select(*by_value, F.col(key).alias("_row_key"))
+    known = F.coalesce(F.col(f"`{key}`"), F.raise_error(F.lit(f"row key {key} must not be null")))
+    result = df.select(*by_value, known.alias("_row_key"))
     for c in whole_column:
         if c.treatment == "json":
             result = json_rewrite.anonymize_json(result, c.column, secret, "_row_key")
         elif c.treatment == "category":
             result = anonymize.generalize_categories(result, c.column)
         else:
-            result = anonymize.k_anonymize(result, c.column, plan.k, secret, "_row_key", source=df)
-    return result.select(*df.columns)
+            result = anonymize.k_anonymize(result, c.column, plan.k, secret, "_row_key", source=source if source is not None else df)
+    return result.where(F.col("_row_key").isNotNull()).select(*[F.col(f"`{n}`") for n in released])
 
 
 def privatize(
@@ -255,8 +272,10 @@ def release_summary(original: DataFrame, released: DataFrame, plan: PrivacyPlan)
     quasi = [c.column for c in plan.columns if c.type == "quasi_identifier"]
     sensitive = [c.column for c in plan.columns if c.type == "sensitive"]
     if plan.l_diversity and quasi and sensitive:
-        found = checks.l_diversity(original, quasi, sensitive[0])
-        summary = summary.withColumn("l_violations", found.select("violations_found").scalar())
+        # every sensitive column counts: a class may be diverse in one and uniform in another
+        found = [checks.l_diversity(original, quasi, name).select("violations_found").scalar() for name in sensitive]
+        violations = found[0] if len(found) == 1 else F.greatest(*found)
+        summary = summary.withColumn("l_violations", violations)
     return summary
 
 
@@ -267,10 +286,11 @@ def proof(df: DataFrame, plan: PrivacyPlan, secret: str, key: str, rows: int = 5
     columns; no row matching by position.
     """
     originals = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    paired = df.withColumn("_original", originals)
-    treated = apply_plan(paired, plan, secret, key)
+    # only the rows shown are treated; the counts behind k-anonymity come from the whole table
+    first = df.orderBy(F.asc_nulls_last(f"`{key}`")).limit(rows)
+    treated = apply_plan(first.withColumn("_original", originals), plan, secret, key, ["_original"], source=df)
     shown = treated.select(
         F.col("_original").alias("original"),
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("anonymized"),
+        F.struct(*[F.col(f"`{c.column}`") for c in plan.columns]).alias("anonymized"),
     )
     return shown.orderBy(F.col(f"original.`{key}`")).limit(rows)

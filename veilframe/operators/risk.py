@@ -33,7 +33,7 @@ class Hit:
 
 
 def _kind(data_type: str) -> str:
-    if data_type in _INTEGRAL:
+    if data_type in _INTEGRAL or re.fullmatch(r"decimal\(\d+,0\)", data_type):
         return "integral"
     if data_type in _FRACTIONAL or data_type.startswith("decimal"):
         return "fractional"

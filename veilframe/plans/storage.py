@@ -99,22 +99,13 @@ _LINE = (
 )
 
 
-@query(
-    "scan_fixed_width",
-    f"WITH l AS (SELECT {_LINE} AS v FROM customer) SELECT "
-    + ", ".join(
-        f"trim(substr(v, {f.start}, {f.end - f.start + 1})) AS {f.name}" for f in files.household_layout()
-    )
-    + " FROM l WHERE v <> ''",
-)
-def scan_fixed_width(spark, sf):
-    path = scratch_path(spark, "fixed")
-    lines = table(spark, sf, "customer").selectExpr(f"{_LINE} AS v")
-    # Latin-1 bytes, as survey files come
-    lines.write.option("encoding", "ISO-8859-1").text(path)
-    latin = files.read_lines(spark, path, "UTF-8").select(F.col("value"))
-    layout = files.detect_layout(spark, path, "UTF-8")
-    return latin.select(*files.cut_fields(F.col("value"), layout))
+def _cut_sql(layout) -> str:
+    return ", ".join(f"trim(substr(v, {f.start}, {f.end - f.start + 1})) AS {f.name}" for f in layout)
+
+
+def _write_latin1(lines: DataFrame, path: str) -> None:
+    """Append lines as Latin-1 bytes, as survey files come."""
+    lines.select(F.encode("v", "ISO-8859-1").cast("string").alias("v")).write.mode("append").text(path)
 
 
 _DAY_TEXT = "lpad(CAST((o_orderkey * 31 + o_custkey * {d}) % 100 AS STRING), 2, '0')"
@@ -130,6 +121,20 @@ def _person_line() -> str:
     return f"concat({head}, {blocks}, lpad(CAST(o_custkey AS STRING), 29, '0'))"
 
 
+@query(
+    "scan_fixed_width",
+    f"WITH h AS (SELECT {_LINE} AS v FROM customer), p AS (SELECT {_person_line()} AS v FROM orders) "
+    f"SELECT {_cut_sql(files.household_layout())} FROM h WHERE v <> '' UNION ALL BY NAME "
+    f"SELECT {_cut_sql(files.person_layout())} FROM p",
+)
+def scan_fixed_width(spark, sf):
+    """One folder with files of both layouts."""
+    path = scratch_path(spark, "fixed")
+    _write_latin1(table(spark, sf, "customer").selectExpr(f"{_LINE} AS v"), path)
+    _write_latin1(table(spark, sf, "orders").selectExpr(f"{_person_line()} AS v"), path)
+    return files.read_fixed_width(spark, path)
+
+
 @query(
     "fwf_unpivot_days",
     f"WITH l AS (SELECT {_person_line()} AS v FROM orders), d AS (SELECT unnest(range(1, 8)) AS n) "
@@ -276,17 +281,14 @@ def privatize_stream(spark, sf):
 
 @query(
     "audit_window_counts",
-    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events "
-    "WHERE CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY "
-    "GROUP BY ALL",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 )
 def audit_window_counts(spark, sf):
     counts = jobs.window_counts(_event_stream(spark, sf), "ts", "event_type")
     path = scratch_path(spark, "window-stream")
-    _finish(jobs.append_to(counts, f"{path}/rows", f"{path}/checkpoint"))
-    # append mode: a window is written once the watermark has passed it
-    closed = spark.read.parquet(f"{path}/rows")
-    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    _finish(jobs.keep_result(counts, f"{path}/rows", f"{path}/checkpoint"))
+    found = jobs.latest_result(spark, f"{path}/rows")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query(
@@ -294,7 +296,7 @@ def audit_window_counts(spark, sf):
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 )
 def audit_window_totals(spark, sf):
-    """The same windows over the finished day folders, all of them closed."""
+    """The same windows over the table at rest."""
     events = table(spark, sf, "events")
     counts = jobs.window_counts(events, "ts", "event_type")
     return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -137,11 +137,13 @@ def read_layout(spark: SparkSession, path: str) -> list[FieldSpan]:
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Lines of text files in a byte or UTF-8 encoding; empty lines are left out."""
+    """Lines of text files in a byte or UTF-8 encoding with their ``file``; empty lines are left out."""
     lines = spark.read.text(path)
+    value = F.col("value")
     if encoding.upper() not in ("UTF-8", "UTF8"):
-        lines = lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
-    return lines.where(F.length("value") > 0)
+        value = F.decode(value.cast("binary"), encoding)
+    origin = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return lines.select(value.alias("value"), *origin).where(F.length("value") > 0)
 
 
 def cut_fields(line: Column, layout: list[FieldSpan]) -> list[Column]:
@@ -154,23 +156,43 @@ def cut_fields(line: Column, layout: list[FieldSpan]) -> list[Column]:
 def read_fixed_width(
     spark: SparkSession, path: str, layout: list[FieldSpan] | None = None, encoding: str = "ISO-8859-1"
 ) -> DataFrame:
-    """Fixed-width records; without a layout it follows from the first line's length."""
-    lines = read_lines(spark, path, encoding)
-    layout = layout or detect_layout(spark, path, encoding)
-    return lines.select(*cut_fields(F.col("value"), layout))
-
-
-def detect_layout(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> list[FieldSpan]:
-    """Person layout when the first non-blank line, line end included, has 200 characters or more.
+    """Fixed-width records; without a layout each file's follows from its first line.
 
-    Only the beginning of the first file (by name) is read.
+    Files of both layouts give the fields of both; those a record's layout lacks are null.
     """
-    first_file = min(spark.read.text(path).inputFiles())
-    lines = read_lines(spark, first_file, encoding).where(~parse.is_blank(F.col("value")))
-    head = lines.select(F.length("value").alias("n")).head(1)
-    if not head:
+    lines = read_lines(spark, path, encoding)
+    if layout:
+        return lines.select(*cut_fields(F.col("value"), layout))
+    layouts = detect_layouts(spark, path, encoding)
+    kinds = sorted(r["person"] for r in layouts.select("person").distinct().collect())
+    if not kinds:
         raise ValueError("no lines to detect a layout from")
-    return person_layout() if head[0]["n"] + 1 >= K.PERSON_LINE_LENGTH else household_layout()
+    if len(kinds) == 1:
+        return lines.select(*cut_fields(F.col("value"), person_layout() if kinds[0] else household_layout()))
+    marked = lines.join(layouts, "file")
+    spans = {f.name: {} for f in [*household_layout(), *person_layout()]}
+    for person, fields in ((False, household_layout()), (True, person_layout())):
+        for f in fields:
+            spans[f.name][person] = f
+    columns = []
+    for name, found in spans.items():
+        cut = {person: cut_fields(F.col("value"), [f])[0] for person, f in found.items()}
+        value = F.when(F.col("person"), cut.get(True)) if True in cut else F.when(~F.col("person"), cut[False])
+        if len(cut) == 2:
+            value = value.otherwise(cut[False])
+        columns.append(value.alias(name))
+    return marked.select(*columns)
+
+
+def detect_layouts(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """``file`` and whether it has the ``person`` layout.
+
+    It has when its first non-blank line, line end included, has 200 characters or more.
+    """
+    lines = read_lines(spark, path, encoding).where(~parse.is_blank(F.col("value")))
+    lines = lines.withColumn("row", F.monotonically_increasing_id())
+    first = lines.groupBy("file").agg(F.min_by(F.length("value"), F.struct("block", "row")).alias("n"))
+    return first.select("file", (F.col("n") + 1 >= K.PERSON_LINE_LENGTH).alias("person"))
 
 
 def unpivot_days(persons: DataFrame, keys: list[str]) -> DataFrame:

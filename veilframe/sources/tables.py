@@ -48,10 +48,13 @@ def scan_table(
     return df.orderBy(*order_by).limit(cap)
 
 
-def guarded_sql(spark: SparkSession, query: str, cap: int = K.QUERY_CAP) -> DataFrame:
-    """A single SELECT without blocked words; capped unless the text has its own LIMIT.
+def guarded_sql(
+    spark: SparkSession, query: str, cap: int | None = None, order_by: list[str] | None = None
+) -> DataFrame:
+    """A single SELECT without blocked words; the whole result unless a cap is asked for.
 
     Words are looked for anywhere in the text, so a column ``updated_at`` is refused.
+    A cap needs an order, and leaves a text with its own LIMIT alone.
     """
     text = query.strip()
     upper = text.upper()
@@ -63,8 +66,12 @@ def guarded_sql(spark: SparkSession, query: str, cap: int = K.QUERY_CAP) -> Data
     body = text[:-1] if text.endswith(";") else text
     if ";" in body:
         raise ValueError("Multiple statements not allowed")
+    if cap is not None and not order_by:
+        raise ValueError("a cap needs order_by")
     df = spark.sql(body)
-    return nulls_to_empty(df if "LIMIT" in upper else df.limit(cap))
+    if cap is not None and "LIMIT" not in upper:
+        df = df.orderBy(*order_by).limit(cap)
+    return nulls_to_empty(df)
 
 
 def scan_dataset(stored: DataFrame, name: str) -> DataFrame:

@@ -21,8 +21,9 @@ def privatize_stream(rows: DataFrame, plan: PrivacyPlan, secret: str, key: str)
     planned = {c.column: c for c in plan.columns}
     out = []
     for name in rows.columns:
-        c = planned.get(name)
-        expression = value_expression(c, types[name], secret, key) if c else F.col(f"`{name}`")
+        if name not in planned:  # what no plan covers is not released
+            continue
+        expression = value_expression(planned[name], types[name], secret, key)
         if expression is None:
             expression = F.when(F.col(f"`{name}`").isNotNull(), F.lit("[CATEGORY]"))
         out.append(expression.alias(name))
@@ -41,9 +42,35 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def window_counts(events: DataFrame, ts: str, kind: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Events per rotation window and type; windows close once the watermark passes."""
-    moments = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
+def keep_result(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream's whole result after every batch, each to a folder of its own; ``latest_result`` reads the last."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        df.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_result(spark: SparkSession, path: str) -> DataFrame:
+    """The result written by the last finished batch of ``keep_result``."""
+    batches = spark.read.parquet(path)
+    last = batches.agg(F.max("batch").alias("b")).first()["b"]
+    return batches.where(F.col("batch") == last).drop("batch")
+
+
+def window_counts(events: DataFrame, ts: str, kind: str, window: str = "1 day") -> DataFrame:
+    """Events per rotation window and type.
+
+    No event is too late: the state is one number per window and type, small enough to
+    be kept for good, so there is no watermark to drop rows behind.
+    """
+    moments = events.withColumn("_at", F.col(ts).cast("timestamp"))
     counts = moments.groupBy(F.window("_at", window), F.col(kind)).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), kind, "n")
 

@@ -9,16 +9,32 @@ released table can be rebuilt, and results are testable. One digest per
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _DRAW_DIGITS = 13  # 52 bits, exact in a double
 _DRAW_RANGE = float(2**52)
 
 
+_REDACTION = "spark.sql.redaction.string.regex"
+
+
+def hide(*texts: str) -> None:
+    """Have Spark replace these texts wherever it prints a plan of the active session."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return
+    known = session.conf.get(_REDACTION, None) or ""
+    new = [re.escape(t) for t in texts if t and re.escape(t) not in known]
+    if new:
+        session.conf.set(_REDACTION, "|".join(filter(None, [known, *new])))
+
+
 def digest(secret: str, operation: str, column: str, key: Column) -> Column:
-    """SHA-256 hex of ``secret|operation|column|key``."""
+    """SHA-256 hex of ``secret|operation|column|key``; the secret is kept out of printed plans."""
+    hide(secret)
     return F.sha2(F.concat(F.lit(f"{secret}|{operation}|{column}|"), key.cast("string")), 256)
 
 
@@ -120,8 +136,9 @@ def hmac_sha256(key: str, message: Column) -> Column:
 
         block = hashlib.sha256(block).digest()
     block = block.ljust(64, b"\0")
-    inner = F.lit(bytearray(b ^ 0x36 for b in block))
-    outer = F.lit(bytearray(b ^ 0x5C for b in block))
+    pads = [bytes(b ^ pad for b in block) for pad in (0x36, 0x5C)]
+    hide(*[form for pad in pads for form in (pad.hex().upper(), pad.hex())])
+    inner, outer = (F.lit(bytearray(pad)) for pad in pads)
     inner_hash = F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))
     return F.sha2(F.concat(outer, inner_hash), 256)
 

@@ -344,6 +344,18 @@ COLUMN_RULES = [
     ("password", ["redaction"], "critical"),
     ("ip_address", ["masking", "hashing", "generalization"], "moderate"),
 ]
+# Further demands of a column's rule. All rules demand a treatment.
+COLUMN_RULE_LIMITS = {
+    "email": {"preserve_domain": "false"},
+    "ssn": {"preserve_format": "false"},
+    "name": {"preserve_length": "true"},
+    "age": {"max_noise": "5"},
+    "salary": {"max_noise_percentage": "10"},
+    "phone": {"preserve_last_digits": "4"},
+    "address": {"generalize_to": "city_level"},
+    "password": {"allow_view": "false"},
+    "ip_address": {"preserve_subnet": "false"},
+}
 # Cost multiplier of a similar query (none, same user, other user).
 SIMILAR_MULTIPLIER = (1.0, 2.0, 3.0)
 SIMILAR_WINDOW_SECONDS = 86400

@@ -213,30 +213,101 @@ def answer_log(
     """Answer a whole log of decided queries on one field.
 
     ``decisions``: query_id, user_id, query_type, epsilon_cost, accepted,
-    epsilon_remaining, max_epsilon. The table is aggregated once; noise scales
-    are solved once per (query type, degradation), at most 20 rows, and every
-    accepted query gets its own keyed draw. Refused queries carry an error.
+    epsilon_remaining, max_epsilon. Refused queries carry an error.
     """
     stats = df.agg(*_statistics(F.col(f"`{field}`"), lower, upper))
+    known = stats.select("*", F.lit(0).alias("spec"), F.lit(float(lower)).alias("_lower"), F.lit(float(upper)).alias("_upper"))
+    u = keyed.uniform(secret, "dp_answer", field, F.col("query_id"))
+    return _answers(decisions.withColumn("spec", F.lit(0)), known, u)
+
+
+MAX_SPECS = 200
+
+
+def invalid_request(tables: dict[str, list[str]]) -> Column:
+    """Why a request {table_name, field_name, query_type, filter_field, filter_operator} cannot be answered, else null.
+
+    ``tables`` lists the fields that may be asked for and filtered by, per table.
+    """
+    reason = F.lit(None).cast("string")
+    offered = F.create_map(*[x for t, fields in tables.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in fields]))])
+    fields = F.element_at(offered, F.col("table_name"))
+    checks = [
+        (F.col("filter_field").isNotNull() & ~F.coalesce(F.col("filter_operator").isin(*COMPARISONS), F.lit(False)), "Invalid filter operator"),
+        (F.col("filter_field").isNotNull() & ~F.coalesce(F.array_contains(fields, F.col("filter_field")), F.lit(False)), "Unknown filter field"),
+        (~F.col("query_type").isin(*QUERY_TYPES), "Invalid query type"),
+        (~F.coalesce(F.array_contains(fields, F.col("field_name")), F.lit(False)), "Unknown field"),
+        (F.col("query_type").isNull(), "query_type required"),
+        (F.col("field_name").isNull(), "field_name required"),
+        (F.col("table_name").isNull(), "table_name required"),
+    ]
+    for wrong, text in checks:  # the last one that holds wins
+        reason = F.when(wrong, F.lit(text)).otherwise(reason)
+    return reason
+
+
+def answer_requests(
+    decisions: DataFrame, df: DataFrame, bounds: dict[str, tuple[float, float]], secret: str, max_specs: int = MAX_SPECS
+) -> DataFrame:
+    """Answer a log of decided requests with their own fields and filters, in one pass over the table.
+
+    ``decisions`` as for ``answer_log`` with field_name, filter_field, filter_operator and
+    filter_value (no filter: null). ``bounds`` gives the public bounds of each field. The
+    different (field, filter) pairs, at most ``max_specs``, become conditional aggregates.
+    """
+    names = ["field_name", "filter_field", "filter_operator", "filter_value"]
+    wanted = decisions.select(*names).distinct().orderBy(*names).limit(max_specs + 1).collect()
+    if len(wanted) > max_specs:
+        raise ValueError(f"more than {max_specs} pairs of field and filter; answer the log in parts")
+    aggregates, rows = [], []
+    for i, w in enumerate(wanted):
+        value = F.col(f"`{w['field_name']}`")
+        if w["filter_field"] is not None:
+            value = F.when(COMPARISONS[w["filter_operator"]](F.col(f"`{w['filter_field']}`"), F.lit(w["filter_value"])), value)
+        lower, upper = (float(x) for x in bounds[w["field_name"]])
+        aggregates.append(F.struct(*_statistics(value, lower, upper)).alias(f"s{i}"))
+        rows.append(F.struct(F.lit(i).alias("spec"), F.lit(lower).alias("_lower"), F.lit(upper).alias("_upper"), F.col(f"s{i}").alias("s")))
+    if not wanted:
+        aggregates, rows = [F.count(F.lit(1)).alias("s0")], []
+    spark = decisions.sparkSession
+    types = dict(decisions.dtypes)
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", spec int"
+    listed = spark.createDataFrame([(*[w[n] for n in names], i) for i, w in enumerate(wanted)], schema)
+    same = [decisions[n].eqNullSafe(listed[n]) for n in names]
+    marked = decisions.join(F.broadcast(listed), same).select(*[decisions[c] for c in decisions.columns], "spec")
+    if not rows:
+        stats = spark.createDataFrame([], "spec int, _lower double, _upper double, _n bigint, _nonzero bigint, _sum double, _mean double, _var double")
+    else:
+        stats = df.agg(*aggregates).select(F.inline(F.array(*rows))).select("spec", "_lower", "_upper", "s.*")
+    u = keyed.uniform(secret, "dp_answer", "request", F.concat("field_name", F.lit("|"), F.col("query_id").cast("string")))
+    return _answers(marked, stats, u)
+
+
+def _answers(decisions: DataFrame, stats: DataFrame, u: Column) -> DataFrame:
+    """Private answers of decided queries from the exact statistics of their ``spec``.
+
+    Noise scales are solved once per (spec, query type, degradation), 20 rows a spec, and
+    every accepted query gets its own keyed draw.
+    """
     n = F.greatest(F.col("_n"), F.lit(1)).cast("double")
-    width = float(upper - lower)
-    low, high = F.lit(float(lower)), F.lit(float(upper))
+    low, high = F.col("_lower"), F.col("_upper")
+    width = high - low
     kind, eps = F.col("query_type"), F.col("effective_epsilon")
     spread = kind.isin("variance", "std")
     # per query type: true value, domain, and how far one record can move it
     value = (
         F.when(kind == "count", F.col("_nonzero").cast("double"))
-        .when(kind == "mean", F.coalesce("_mean", F.lit((lower + upper) / 2.0)))
+        .when(kind == "mean", F.coalesce("_mean", (low + high) / 2.0))
         .when(kind == "sum", F.col("_sum"))
         .otherwise(F.greatest(F.col("_var"), F.lit(0.0)))
     )
     bottom = F.when(kind == "mean", low).when(kind == "sum", low * n).otherwise(F.lit(0.0))
-    top = F.when(kind == "mean", high).when(kind == "sum", high * n).when(spread, F.lit(width * width / 4.0))
+    top = F.when(kind == "mean", high).when(kind == "sum", high * n).when(spread, width * width / 4.0)
     reach = (
         F.when(kind == "count", F.lit(1.0))
-        .when(kind == "mean", F.lit(width) / n)
-        .when(kind == "sum", F.lit(float(max(abs(lower), abs(upper)))))
-        .otherwise(F.greatest(F.lit(width * width) * (n - 1.0) / (n * n), F.lit(1e-12)))
+        .when(kind == "mean", width / n)
+        .when(kind == "sum", F.greatest(F.abs(low), F.abs(high)))
+        .otherwise(F.greatest(width * width * (n - 1.0) / (n * n), F.lit(1e-12)))
     )
     factors = [factor for _, _, factor in K.BUDGET_BANDS] + [K.BUDGET_BOTTOM[1]]
     costs = F.array(*[F.struct(F.lit(t).alias("query_type"), F.lit(c / 100.0).alias("cost")) for t, c in K.QUERY_COST_CENTS.items()])
@@ -244,7 +315,7 @@ def answer_log(
         "*", F.explode(F.array(*[F.lit(f) for f in factors])).alias("degradation_factor")
     )
     prepared = kinds.withColumn("effective_epsilon", F.col("cost") / F.col("degradation_factor")).select(
-        "query_type", "degradation_factor", "effective_epsilon",
+        "spec", "query_type", "degradation_factor", "effective_epsilon", "_lower", "_upper",
         value.alias("_value"), bottom.alias("_bottom"), top.alias("_top"), reach.alias("_reach"),
     )
     bounded_kind = spread | (kind == "sum")
@@ -255,9 +326,7 @@ def answer_log(
 
     percent = budget_percent()
     asked = decisions.withColumn("degradation_factor", degradation_factor(percent)).withColumn("_percent", percent)
-    joined = asked.join(mechanisms, ["query_type", "degradation_factor"])
-    u = keyed.uniform(secret, "dp_answer", field, F.col("query_id"))
-    drawn = joined.withColumn("_u", u)
+    drawn = asked.join(mechanisms, ["spec", "query_type", "degradation_factor"]).withColumn("_u", u)
     plain = F.col("_value") + keyed.laplace(F.col("_u"), F.col("noise_scale"))
     inside = keyed.bounded_laplace(
         F.col("_value"), F.col("_u"), F.col("noise_scale"), F.col("_bottom"), F.coalesce("_top", F.lit(float("inf")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -42,6 +42,24 @@ def custom_policy(epsilon: float, k: int) -> Policy:
     return Policy("custom", level, epsilon, k)
 
 
+def custom_level(epsilon: Column) -> Column:
+    """The protection level of a custom policy's epsilon."""
+    level = None
+    for at_least, name in K.CUSTOM_LEVELS:
+        level = F.when(epsilon >= at_least, name) if level is None else level.when(epsilon >= at_least, name)
+    return level.otherwise(K.CUSTOM_TOP_LEVEL)
+
+
+def custom_policies(requests: DataFrame, epsilon: str = "epsilon", k: str = "k_anonymity") -> DataFrame:
+    """Requested (epsilon, k) pairs as policies: level, its number and description."""
+    level = custom_level(F.col(epsilon))
+    levels = F.create_map(*[F.lit(x) for pair in K.LEVELS.items() for x in pair])
+    text = F.format_string("Custom policy (ε=%s, k=%s)", F.col(epsilon).cast("string"), F.col(k).cast("string"))
+    return requests.withColumns(
+        {"level": level, "level_value": F.element_at(levels, level), "delta": F.lit(K.DELTA), "description": text}
+    )
+
+
 def policies_table(spark: SparkSession, custom: list[Policy] = ()) -> DataFrame:
     """All named policies, with the numeric level, plus custom ones."""
     rows = list(K.POLICIES)
@@ -110,13 +128,19 @@ def column_rule_check(classified: DataFrame) -> DataFrame:
     """Whether the mechanism used on a column is among the methods its kind allows.
 
     Takes (column, mechanism); a column's kind is the first rule name its name contains.
+    ``limits`` holds what else the rule demands of the treatment.
     """
-    kind = None
-    methods = None
-    for name, allowed, _ in K.COLUMN_RULES:
+    rule = None
+    for name, allowed, protection in K.COLUMN_RULES:
         hit = F.lower("column").contains(name)
-        listed = F.array(*[F.lit(m) for m in allowed])
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-        methods = F.when(hit, listed) if methods is None else methods.when(hit, listed)
-    ruled = classified.withColumn("rule", kind).withColumn("allowed_methods", methods)
+        limits = [F.lit(x) for pair in K.COLUMN_RULE_LIMITS.get(name, {}).items() for x in pair]
+        listed = F.struct(
+            F.lit(name).alias("rule"),
+            F.array(*[F.lit(m) for m in allowed]).alias("allowed_methods"),
+            F.lit(True).alias("must_transform"),
+            F.lit(protection).alias("min_protection"),
+            (F.create_map(*limits) if limits else F.create_map().cast("map<string,string>")).alias("limits"),
+        )
+        rule = F.when(hit, listed) if rule is None else rule.when(hit, listed)
+    ruled = classified.withColumn("_rule", rule).select("*", "_rule.*").drop("_rule")
     return ruled.withColumn("method_allowed", F.array_contains("allowed_methods", F.col("mechanism")))

@@ -183,3 +183,8 @@ def audit_log(transactions: DataFrame, limit: int = K.AUDIT_LIMIT) -> DataFrame:
 def erase_users(table: DataFrame, erased: DataFrame, user: str = "user_id") -> DataFrame:
     """A ledger, history or membership table without the given users."""
     return table.join(erased.select(user), user, "left_anti")
+
+
+def entries_of(entries: DataFrame, user: int | str) -> DataFrame:
+    """One user's part of an audit log."""
+    return entries.where(F.col("user_id") == F.lit(user))

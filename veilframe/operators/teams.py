@@ -98,3 +98,10 @@ def similar_queries(
         ),
         "query_id",
     )
+
+
+def charged(log: DataFrame, similar: DataFrame) -> DataFrame:
+    """A query log whose ``cost_cents`` carry the similarity factor; the plain cost stays as ``base_cost_cents``."""
+    factor = similar.select("query_id", "budget_multiplier")
+    cost = (F.col("cost_cents") * F.col("budget_multiplier")).cast("bigint")
+    return log.join(factor, "query_id").withColumn("base_cost_cents", F.col("cost_cents")).withColumn("cost_cents", cost)

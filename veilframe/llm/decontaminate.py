@@ -151,8 +151,9 @@ def find_hits(
     max_windows: int = MAX_WINDOWS,
     item_key: str = "item_id",
     item_text: str = "text",
+    name: str = "hits",
 ) -> DataFrame:
-    """Documents with ``hits``: number of words, hit word ranges (sorted, per part merged) and item ids."""
+    """Documents with the column ``name``: number of words, hit word ranges (sorted, per part merged) and item ids."""
     spark = documents.sparkSession
     grams = windows(benchmark, n, item_key, item_text)
     parts = max(1, -(-grams.count() // max_windows))
@@ -163,14 +164,14 @@ def find_hits(
         result = result.withColumn(f"_vf_hits_{k}", _scan(spark, rows, utf8(text)))
     hits = [F.col(f"_vf_hits_{k}") for k in range(parts)]
     if parts == 1:
-        return result.withColumnRenamed("_vf_hits_0", "hits")
+        return result.withColumn(name, hits[0]).drop("_vf_hits_0")
     united = F.struct(
         hits[0]["n_words"].alias("n_words"),
         F.concat(*[h["starts"] for h in hits]).alias("starts"),
         F.concat(*[h["ends"] for h in hits]).alias("ends"),
         F.array_sort(F.array_distinct(F.concat(*[h["items"] for h in hits]))).alias("items"),
     )
-    return result.withColumn("hits", united).drop(*[f"_vf_hits_{k}" for k in range(parts)])
+    return result.withColumn(name, united).drop(*[f"_vf_hits_{k}" for k in range(parts)])
 
 
 def n_hit(hits: Column) -> Column:
@@ -201,9 +202,9 @@ def decontaminate(
     documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS, drop: str = "documents", text: str = "text", **more
 ) -> DataFrame:
     """Documents without contamination: whole ``documents`` with a hit go, or only the hit ``spans``."""
-    found = find_hits(documents, benchmark, n, text, **more)
+    found = find_hits(documents, benchmark, n, text, name="_vf_hits", **more)
     if drop == "documents":
-        return found.where(F.size("hits.starts") == 0).drop("hits")
+        return found.where(F.size("_vf_hits.starts") == 0).drop("_vf_hits")
     if drop != "spans":
         raise ValueError("drop is 'documents' or 'spans'")
     cut = F.arrow_udf(
@@ -212,7 +213,7 @@ def decontaminate(
         ),
         "string",
     )
-    return found.withColumn(text, cut(F.col(text).cast("string"), "hits.starts", "hits.ends")).drop("hits")
+    return found.withColumn(text, cut(F.col(text).cast("string"), "_vf_hits.starts", "_vf_hits.ends")).drop("_vf_hits")
 
 
 _ALNUM = "[0-9a-z\\x{80}-\\x{10FFFF}]+"

@@ -6,8 +6,8 @@ models add a fourth kind, ``random``: a token of at least 16 characters whose
 log-likelihood ratio, random strings against ordinary identifiers, is at least
 ``threshold``, unless it overlaps a pattern's span.
 
-Both models are first-order chains over the printable ASCII characters, with a little
-weight on every transition. The labelled samples are bounded: up to ``max_secrets``
+Both models are first-order chains over the printable ASCII characters that fall back on
+the characters' frequencies where a transition is rare. The labelled samples are bounded: up to ``max_secrets``
 distinct values found by the patterns (random) and the tokens of up to ``max_documents``
 documents apart from the patterns' spans (ordinary), each those with the smallest hash.
 The transition counts are summed by Spark; the driver sees 96 x 96 of them at most.
@@ -42,7 +42,8 @@ MAX_SECRETS = 20_000
 MAX_DOCUMENTS = 2_000
 THRESHOLD = 12.0
 _SYMBOLS = 96  # characters 32 to 127; 32 also stands for the start of a token
-_SMOOTH = 0.05
+_FLOOR = 0.5  # weight of every character besides its count
+_BACK = 2.0  # weight of the character frequencies beside a character's transitions
 
 _SPAN = "array<struct<start:int,o:int,end:int,value:string>>"
 
@@ -107,11 +108,16 @@ def _transitions(tokens: DataFrame) -> dict[tuple[int, int], int]:
 
 
 def _log_model(counts: dict[tuple[int, int], int]) -> list[list[float]]:
+    """Log probabilities of every transition; rare contexts fall back on the characters' frequencies."""
+    symbols = range(32, 32 + _SYMBOLS)
+    alone = {b: _FLOOR for b in symbols}
+    for (_, b), n in counts.items():
+        alone[b] = alone.get(b, _FLOOR) + n
+    total = sum(alone[b] for b in symbols)
     rows = []
-    for a in range(32, 32 + _SYMBOLS):
-        row = [counts.get((a, b), 0) + _SMOOTH for b in range(32, 32 + _SYMBOLS)]
-        total = sum(row)
-        rows.append([math.log(n / total) for n in row])
+    for a in symbols:
+        row = [counts.get((a, b), 0) + _BACK * alone[b] / total for b in symbols]
+        rows.append([math.log(x / sum(row)) for x in row])
     return rows
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,42 @@ from . import skew
 from .ordering import with_position
 
 
+@dataclass
+class Categories:
+    """The numbered values of one column: ``_value``, ``n``, ``_target`` from 0, with their measured size."""
+
+    table: DataFrame
+    rows: int
+    total: int
+    text_bytes: int | None
+
+
+def count_categories(df: DataFrame, columns: list[str]) -> dict[str, Categories]:
+    """The categories of several text columns from one pass over the rows and one sort of their counts."""
+    entries = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(f"`{c}`").alias("_value")) for c in columns])
+    counts = df.select(F.inline(entries)).where(F.col("_value").isNotNull()).groupBy("_column", "_value").agg(F.count(F.lit(1)).alias("n"))
+    placed = with_position(counts, ["_column", "_value"], "_place")
+    sizes = placed.groupBy("_column").agg(
+        F.min("_place").alias("start"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), F.sum(skew.text_size(F.col("_value"))).alias("bytes")
+    )
+    # one row per column of the schema
+    measured = {r["_column"]: r for r in sizes.collect()}
+    found = {}
+    for c in columns:
+        r = measured.get(c)
+        target = (F.col("_place") - F.lit(r["start"] if r else 0)).alias("_target")
+        table = placed.where(F.col("_column") == c).select("_value", "n", target)
+        found[c] = Categories(table, r["rows"], r["total"], r["bytes"]) if r else Categories(table, 0, 0, 0)
+    return found
+
+
+def _categories(df: DataFrame, column: str) -> Categories:
+    values = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("_value"))
+    numbered = with_position(values.groupBy("_value").agg(F.count(F.lit(1)).alias("n")), ["_value"], "_target")
+    size = F.sum(skew.text_size(F.col("_value")))
+    return Categories(numbered, *numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), size).first())
+
+
 def k_anonymize(
     df: DataFrame,
     column: str,
@@ -19,6 +57,7 @@ def k_anonymize(
     key: str,
     p: float = K.TRUTH_PROBABILITY,
     source: DataFrame | None = None,
+    counted: Categories | None = None,
 ) -> DataFrame:
     """Keep values seen at least k times; answer the others by randomized response.
 
@@ -28,15 +67,12 @@ def k_anonymize(
     evenly over that table.
 
     ``source`` may name an earlier frame with the same values of ``column``,
-    to count them without the work done on the other columns since.
+    to count them without the work done on the other columns since; ``counted`` its
+    categories, where ``count_categories`` has them already.
     """
     value = F.col(f"`{column}`")
-    values = (source if source is not None else df).where(value.isNotNull()).select(value.alias("_value"))
-    counts = values.groupBy("_value").agg(F.count(F.lit(1)).alias("n"))
-    categories = with_position(counts, ["_value"], "_target")
-    rows, total, text_bytes = categories.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.sum(skew.text_size(F.col("_value")))
-    ).first()
+    found = counted or _categories(source if source is not None else df, column)
+    categories, rows, total, text_bytes = found.table, found.rows, found.total, found.text_bytes
     if rows == 0:
         return df
 

@@ -110,11 +110,16 @@ def profile_columns(
             *[F.expr(f"count_if(({t}) AND ({str(s in every).lower()} OR early)) AS {s}") for s, t in tests.items()],
         )
     elif distinct == "exact":
-        counted = long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+        # only a 128-bit digest of each value and the outcome of the tests are shuffled, never its text
+        bits = " | ".join(f"CASE WHEN {t} THEN {1 << i}L ELSE 0L END" for i, t in enumerate(tests.values()))
+        marked = long_form(df, columns).selectExpr(
+            "column", "xxhash64(value) AS h1", "xxhash64(1, value) AS h2", f"{bits} AS bits"
+        )
+        counted = marked.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.max("bits").alias("bits"))
         stats = counted.groupBy("column").agg(
             F.expr("sum(c) AS n"),
             F.expr("count(1) AS distinct"),
-            *[F.expr(f"coalesce(sum(c) FILTER (WHERE {t}), 0) AS {s}") for s, t in tests.items()],
+            *[F.expr(f"coalesce(sum(c) FILTER (WHERE bits & {1 << i}L <> 0), 0) AS {s}") for i, s in enumerate(tests)],
         )
         stats = stats.selectExpr("*", "n AS pattern_n", "distinct AS pattern_distinct")
     elif distinct == "approx":

@@ -209,13 +209,18 @@ def apply_plan(
         by_value.append(expression.alias(name))
     known = F.coalesce(F.col(f"`{key}`"), F.raise_error(F.lit(f"row key {key} must not be null")))
     result = df.select(*by_value, known.alias("_row_key"))
+    whole = source if source is not None else df
+    texts = [c.column for c in whole_column if c.treatment == "k_anonymity" and types[c.column] == "string"]
+    counted = anonymize.count_categories(whole, texts) if texts else {}
     for c in whole_column:
         if c.treatment == "json":
             result = json_rewrite.anonymize_json(result, c.column, secret, "_row_key")
         elif c.treatment == "category":
             result = anonymize.generalize_categories(result, c.column)
         else:
-            result = anonymize.k_anonymize(result, c.column, plan.k, secret, "_row_key", source=source if source is not None else df)
+            result = anonymize.k_anonymize(
+                result, c.column, plan.k, secret, "_row_key", source=whole, counted=counted.get(c.column)
+            )
     return result.where(F.col("_row_key").isNotNull()).select(*[F.col(f"`{n}`") for n in released])
 
 

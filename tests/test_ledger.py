@@ -158,6 +158,24 @@ def test_queries_in_streamed_batches_equal_one_batch(spark, tmp_path):
     assert got == loop(rows, "hourly", 20, 1)[0]
 
 
+def test_late_queries_of_a_stream_are_set_aside(spark, tmp_path):
+    from veilframe.streaming import jobs
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[(1, 10, 100, 1), (2, 11, 100, 1)], [(1, 12, 50, 1), (1, 13, 200, 1), (2, 14, 100, 1)], [(1, 15, 150, 1)]]
+    for k, rows in enumerate(parts):
+        small_log(spark, rows).coalesce(1).write.parquet(f"{source}/part={k}")
+    schema = spark.read.parquet(f"{source}/part=0").schema
+    jobs.ledger_stream(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*"),
+        out, f"{out}/checkpoint", max_cents=20, refill_cents=1,
+    ).awaitTermination()
+    decided = {r.event_id for r in jobs.read_decisions(spark, out).collect()}
+    late = {r.query_id for r in spark.read.parquet(f"{out}/late").collect()}
+    assert decided | late == {10, 11, 12, 13, 14, 15} and not decided & late
+    assert late == {12, 15}
+
+
 def small_log(spark, rows):
     found = spark.createDataFrame(rows, "user_id bigint, query_id bigint, at_s bigint, cost_cents bigint")
     return found.select("user_id", "query_id", F.timestamp_seconds("at_s").alias("ts"), F.lit("count").alias("query_type"), "cost_cents")

@@ -15,7 +15,7 @@ from ..sources import files, tables
 from ..streaming import jobs
 from . import budgets
 from .base import (
-    MAX_CENTS, PEOPLE, QUERY_LOG, REFILL_CENTS, SECRET, people, query, table,
+    MAX_CENTS, PEOPLE, PEOPLE_COLUMNS, QUERY_LOG, REFILL_CENTS, SECRET, people, query, table,
 )
 from .privacy import _RELEASED
 
@@ -192,14 +192,14 @@ def scan_table_capped(spark, sf):
 
 @query(
     "sink_anonymized_json",
-    _RELEASED + "SELECT 'people' AS source_table, id, full_name, email, salary, gps FROM released",
+    _RELEASED + f"SELECT 'people' AS source_table, {', '.join(PEOPLE_COLUMNS)} FROM released",
 )
 def sink_anonymized_json(spark, sf):
     released, _ = privatize.privatize(people(spark, sf), SECRET, "id")
     path = scratch_path(spark, "records")
     tables.write_records(released, "people", path)
     stored = spark.read.parquet(path)
-    document = F.from_json("data", "id bigint, full_name string, email string, salary bigint, gps string")
+    document = F.from_json("data", released.schema)
     return stored.select("source_table", document.alias("d")).select("source_table", "d.*")
 
 
@@ -263,7 +263,8 @@ def ledger_stream(spark, sf):
 
 @query(
     "privatize_stream",
-    _RELEASED + "SELECT id, full_name, email, phone, age, salary, pincode, gps FROM released",
+    # status needs the whole column and is generalized in the stream
+    _RELEASED + "SELECT id, full_name, email, phone, age, salary, '[CATEGORY]' AS status, pincode, gps FROM released",
 )
 def privatize_stream(spark, sf):
     rows = people(spark, sf)
@@ -275,8 +276,7 @@ def privatize_stream(spark, sf):
     released = jobs.privatize_stream(incoming, plan, SECRET, "id")
     path = scratch_path(spark, "privatize-stream")
     _finish(jobs.append_to(released, f"{path}/rows", f"{path}/checkpoint"))
-    # status needs the whole column and is generalized in the stream
-    return spark.read.parquet(f"{path}/rows").drop("status")
+    return spark.read.parquet(f"{path}/rows")
 
 
 @query(

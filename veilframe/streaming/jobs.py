@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as K
 from ..operators import ledger
 from ..operators.privatize import PrivacyPlan, value_expression
+from ..session import materialize
 
 
 def privatize_stream(rows: DataFrame, plan: PrivacyPlan, secret: str, key: str) -> DataFrame:
@@ -90,18 +91,29 @@ def ledger_stream(
     opened with the ledgers the previous batch left, so a dominant holder
     spreads over partitions here too. Each batch overwrites its own two folders
     (decisions and ledgers by batch number), so a replay after a failure writes
-    the same files again. Queries must arrive in time order across batches.
+    the same files again. A query older than one of its holder that an earlier batch
+    decided comes too late to be folded in order: it is not decided but written to
+    ``late``.
     """
 
     def decide(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         opening = session.read.parquet(f"{path}/ledgers/batch={number - 1}") if number > 0 else None
-        folded = ledger.ledger_fold(batch, holder, rule, max_cents, refill_cents, opening=opening)
         decided_path, ledger_path = f"{path}/decisions/batch={number}", f"{path}/ledgers/batch={number}"
+        if opening is not None:
+            seen = opening.select(F.col("holder").alias("_holder"), "seen_us")
+            joined = materialize(batch.join(seen, batch[holder] == seen["_holder"], "left").drop("_holder"))
+            late = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) < F.col("seen_us"), F.lit(False))
+            joined.where(late).drop("seen_us").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+            batch = joined.where(~late).drop("seen_us")
+        folded = ledger.ledger_fold(batch, holder, rule, max_cents, refill_cents, opening=opening)
         folded.write.mode("overwrite").parquet(decided_path)
         written = session.read.schema(folded.schema).parquet(decided_path)
         closing = ledger.ledgers(written).select("holder", "max_cents", "remaining_units", "last_refill_s")
-        closing.write.mode("overwrite").parquet(ledger_path)
+        last = written.where(F.col("kind") != ledger.OPEN).groupBy("holder").agg(F.max("at_us").alias("seen_us"))
+        if opening is not None:
+            last = last.unionByName(opening.select("holder", "seen_us")).groupBy("holder").agg(F.max("seen_us").alias("seen_us"))
+        closing.join(last, "holder", "left").write.mode("overwrite").parquet(ledger_path)
 
     return (
         queries.writeStream.foreachBatch(decide)
@@ -112,5 +124,7 @@ def ledger_stream(
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Query decisions of all finished batches."""
-    return spark.read.parquet(f"{path}/decisions").drop("batch").where(F.col("kind") == ledger.QUERY)
+    """Query decisions of all finished batches, that is of those whose ledgers are written."""
+    finished = spark.read.parquet(f"{path}/ledgers").agg(F.max("batch").alias("b")).first()["b"]
+    decided = spark.read.parquet(f"{path}/decisions").where(F.col("batch") <= finished)
+    return decided.drop("batch").where(F.col("kind") == ledger.QUERY)

@@ -14,10 +14,11 @@ edits 5, 4 and 3 pieces against lines shorter by 0, 1 and 2). Candidates are ver
 an edit automaton over the 2k + 1 diagonals of the band, run for all diagonals at once on
 bits.
 
-A segment shared by more than ``hot`` lines is handled apart: its index rows are salted,
-its probes copied to each salt, and a pair must also agree in the parities of its
-character counts up to two bits per edit before it leaves the join. Only ids, places and
-hashes travel; texts are shuffled once, by row, for every step that needs them.
+A pair leaves the join only if the counts of ten letters, modulo eight, differ by no more
+than the edits could change, so lines that merely share a hot segment are dropped inside
+it; the join sorts and spills, and adaptive execution splits a segment that many lines
+share. Only ids, places, hashes and counts travel; texts are shuffled once, by row, for
+every step that needs them, which is why all steps after the first form one plan.
 
 All of it is DataFrame functions. Defined results: null text stays null and has no
 lines; an empty text is one blank line; rows without an id come last; where ids are
@@ -27,7 +28,9 @@ document whose lines all go keeps an empty text; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import with_position
@@ -36,8 +39,8 @@ from .common import query, table
 
 MAX_EDITS = 2
 RATE = 0.05
-HOT = 64
 _BREAK = "\n"
+_LETTERS = "eantirsohd"  # frequent ones tell most; any ten would do
 
 
 def allowed(length: Column, max_edits: int, rate: float) -> Column:
@@ -49,6 +52,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, _BREAK, -1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value for an expression, so that it is computed once even where the expression loops over it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _is_blank(line: Column) -> Column:
     return ~line.rlike("[^\\x20\\x09-\\x0D]")
 
@@ -62,7 +70,8 @@ def _numbered(documents: DataFrame, key: str) -> tuple[DataFrame, str | None]:
     if dict(ids.dtypes)["doc"] in ("bigint", "int", "smallint"):
         odd = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("doc").isNull() | (F.col("n") > 1))
         if odd.isEmpty():
-            return documents.withColumnRenamed(key, "_vf_row"), key
+            # the filter drops nothing; with it every step reads the same shuffle
+            return documents.withColumnRenamed(key, "_vf_row").where(F.col("_vf_row").isNotNull()), key
     spark = documents.sparkSession
     path = scratch_path(spark, "lines-documents")
     documents.withColumn("_vf_input", F.monotonically_increasing_id()).write.parquet(path)
@@ -82,19 +91,24 @@ def _first_lines(rows: DataFrame) -> DataFrame:
 
 def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
     """``row``, ``place`` and ``line`` for the ``places`` of each ``row``."""
-    joined = rows.join(places, "row").withColumn("lines", _lines(F.col("text")))
-    wanted = F.transform("places", lambda p: F.struct(p.alias("place"), F.get("lines", p).alias("line")))
-    return joined.select("row", F.explode(wanted).alias("w")).select("row", "w.place", "w.line")
+    wanted = _let(
+        _lines(F.col("text")),
+        lambda lines: F.transform("places", lambda p: F.struct(p.alias("place"), F.get(lines, p).alias("line"))),
+    )
+    return rows.join(places.hint("shuffle_hash"), "row").select("row", F.explode(wanted).alias("w")).select("row", "w.place", "w.line")
+
+
+_INDEX = 3  # marks index rows where probes have their d, 0 to 2
 
 
-def _choices(max_edits: int, index: bool) -> Column:
-    """The pieces to take of a line: edits k, shortness d of the other line, segment i, shift o of its place."""
+def _choices(max_edits: int) -> Column:
+    """The pieces to take of a line: edits k, shortness d of the other line (or ``_INDEX``), segment i, shift o of its place."""
+    if max_edits >= _INDEX:
+        raise ValueError(f"at most {_INDEX - 1} edits")
     found = []
     for k in range(1, max_edits + 1):
         for i in range(1, k + 2):
-            if index:
-                found.append((k, 0, i, 0))
-                continue
+            found.append((k, _INDEX, i, 0))
             for d in range(k + 1):
                 # i - 1 edits can lie before the segment, k + 1 - i after it
                 low, high = max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i))
@@ -102,10 +116,30 @@ def _choices(max_edits: int, index: bool) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("kdio", c)]) for c in found])
 
 
-def _pieces(lines: DataFrame, index: bool, max_edits: int, rate: float) -> DataFrame:
-    """Rows ``h`` (hash of length, segment number and piece), ``row``, ``place`` and ``d``."""
-    shown = lines.withColumn("n", F.length("line")).select("*", F.explode(_choices(max_edits, index)).alias("c"))
-    length = F.col("n") - F.col("c.d")  # of the indexed line
+def _counts(line: Column) -> Column:
+    """How often each of the letters occurs, modulo 8, in three bits each."""
+    bits = F.lit(0)
+    for k, letter in enumerate(_LETTERS):
+        count = (F.length(line) - F.length(F.replace(line, F.lit(letter)))).cast("int")
+        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(7)), 3 * k))
+    return bits
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Least number of changes that explains the difference of two counts."""
+    total = F.lit(0)
+    for k in range(len(_LETTERS)):
+        one, two = (F.shiftright(x, 3 * k).bitwiseAND(F.lit(7)) for x in (a, b))
+        gap = F.abs(one - two)
+        total = total + F.least(gap, 8 - gap)
+    return total
+
+
+def _pieces(lines: DataFrame, max_edits: int, rate: float) -> DataFrame:
+    """Index and probe rows: ``h`` (hash of length, segment number and piece), ``row``, ``place``, ``bits`` (counts, and d above them)."""
+    measured = lines.select("row", "place", "line", F.length("line").alias("n"), _counts(F.col("line")).alias("counts"))
+    shown = measured.select("*", F.explode(_choices(max_edits)).alias("c"))
+    length = F.col("n") - F.col("c.d") % _INDEX  # of the indexed line
     k, i = F.col("c.k"), F.col("c.i")
     fits = shown.where((length > 0) & (allowed(length, max_edits, rate) == k))
     base, rest = F.floor(length / (k + 1)).cast("int"), length % (k + 1)
@@ -114,7 +148,8 @@ def _pieces(lines: DataFrame, index: bool, max_edits: int, rate: float) -> DataF
     size = base + (i > short).cast("int")
     fits = fits.where((start >= 0) & (start + size <= F.col("n")))
     piece = F.substring("line", start + 1, size)
-    return fits.select(F.xxhash64(length, i, piece).alias("h"), "row", "place", F.col("c.d").alias("d"))
+    bits = F.col("counts").bitwiseOR(F.shiftleft(F.col("c.d"), 30))
+    return fits.select(F.xxhash64(length, i, piece).alias("h"), "row", "place", bits.alias("bits"))
 
 
 def _before(a: str, b: str) -> Column:
@@ -123,48 +158,42 @@ def _before(a: str, b: str) -> Column:
     return (row_a < row_b) | ((row_a == row_b) & (F.col(f"{a}.place") < F.col(f"{b}.place")))
 
 
-def _parities(line: Column) -> Column:
-    """Bit c tells whether the characters of code c modulo 64 occur an odd number of times together."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(
-        F.split(line, ""),
-        F.lit(0).cast("bigint"),
-        lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c) % 64)),
-    )
+def candidates(rows: DataFrame, firsts: DataFrame, max_edits: int, rate: float) -> DataFrame:
+    """Pairs of distinct lines, ``a`` the not longer one, that share a segment and have like letter counts."""
+    pieces = _pieces(_texts(rows, firsts), max_edits, rate)
+    d_i, d_p = (F.shiftrightunsigned(f"{x}.bits", 30) for x in "ip")
+    # one test of both sides' marks keeps the sides alike, so that they share one shuffle
+    probed = (d_i + d_p * (_INDEX + 1)).isin(*[_INDEX + d * (_INDEX + 1) for d in range(max_edits + 1)])
+    # lines of equal length meet in one direction only
+    turned = (d_p > 0) | _before("i", "p")
+    near = _differ(F.col("i.bits"), F.col("p.bits")) <= 2 * max_edits
+    met = pieces.alias("i").join(pieces.alias("p"), (F.col("i.h") == F.col("p.h")) & probed & turned & near)
+    ends = [F.col(f"{x}.{c}").alias(f"{n}_{c}") for x, n in (("i", "a"), ("p", "b")) for c in ("row", "place")]
+    return met.select(*ends).distinct()
 
 
-def _pair(i: str, p: str) -> list[Column]:
-    return [F.col(f"{x}.{c}").alias(f"{n}_{c}") for x, n in ((i, "a"), (p, "b")) for c in ("row", "place")]
+def _with_ends(pair: Column) -> Column:
+    """A pair of texts with the lengths of their shared beginning and, after it, shared end."""
+    a, b = pair["a"], pair["b"]
+    room = F.least(F.length(a), F.length(b))
+    powers = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda e: F.call_function("shiftleft", F.lit(1), 30 - e))
 
+    def head(have: Column, more: Column) -> Column:
+        equal = F.substring(a, have + 1, more) == F.substring(b, have + 1, more)
+        return F.when((more <= room - have) & equal, have + more).otherwise(have)
 
-def candidates(rows: DataFrame, firsts: DataFrame, max_edits: int, rate: float, hot: int) -> DataFrame:
-    """Pairs of distinct lines, ``a`` the not longer one, that share a segment."""
-    lines = _texts(rows, firsts)
-    index, probes = _pieces(lines, True, max_edits, rate), _pieces(lines, False, max_edits, rate)
-    counted = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    # lines of equal length meet in one direction only
-    turned = (F.col("p.d") > 0) | _before("i", "p")
-    cold = counted.where(F.col("n") <= hot).alias("i").join(probes.alias("p"), F.col("i.h") == F.col("p.h")).where(turned)
-    cold = cold.select(*_pair("i", "p"))
-    warm = materialize(counted.where(F.col("n") > hot).select("h", "row", "place", "n"))
-    if warm.isEmpty():
-        return cold.distinct()
-    keys = warm.select("h", "n").distinct()
-    salts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-    asked = materialize(probes.join(keys, "h"))
-    shown = warm.select("row", "place").unionByName(asked.select("row", "place")).distinct()
-    shown = _texts(rows, shown.groupBy("row").agg(F.collect_list("place").alias("places")))
-    marks = materialize(shown.select("row", "place", _parities(F.col("line")).alias("bits")))
-    salted = warm.join(marks, ["row", "place"]).withColumn("salt", F.pmod(F.xxhash64("row", "place"), salts).cast("int"))
-    spread = asked.join(marks, ["row", "place"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    near = F.bit_count(F.col("i.bits").bitwiseXOR(F.col("p.bits"))) <= 2 * max_edits
-    same = (F.col("i.h") == F.col("p.h")) & (F.col("i.salt") == F.col("p.salt"))
-    met = salted.alias("i").join(spread.alias("p"), same & near & turned).select(*_pair("i", "p"))
-    return cold.unionByName(met).distinct()
-
-
-def with_distance(pairs: DataFrame, a: str, b: str, max_edits: int) -> DataFrame:
-    """Add ``distance``, the edit distance of two text columns if at most ``max_edits``, else null.
+    def with_tail(found: Column) -> Column:
+        def tail(have: Column, more: Column) -> Column:
+            ends = [F.substring(x, F.length(x) - have - more + 1, more) for x in (a, b)]
+            return F.when((more <= room - found - have) & (ends[0] == ends[1]), have + more).otherwise(have)
+
+        return F.struct(a.alias("a"), b.alias("b"), found.alias("head"), F.aggregate(powers, F.lit(0), tail).alias("tail"))
+
+    return _let(F.aggregate(powers, F.lit(0), head), with_tail)
+
+
+def edit_distance(a: Column, b: Column, max_edits: int) -> Column:
+    """The edit distance of two texts if at most ``max_edits``, else null.
 
     An automaton reads b and keeps, for each number of edits, a word of 2 k + 1 bits: bit i
     tells that the characters read so far can be made from the first j + i - k of a, where
@@ -172,17 +201,18 @@ def with_distance(pairs: DataFrame, a: str, b: str, max_edits: int) -> DataFrame
     """
     k, width = max_edits, 2 * max_edits + 1
 
-    def codes(text: str) -> Column:
+    def codes(text: Column) -> Column:
         return F.transform(F.split(text, ""), lambda c: F.ascii(c))
 
-    ready = pairs.withColumns({"_vf_a": codes(a), "_vf_b": codes(b)})
+    def agreements(a: Column, b: Column) -> Column:
+        def bits(c: Column, j: Column) -> Column:
+            found = F.lit(0)
+            for i in range(width):
+                hit = (j + (i - k) >= 0) & (F.get(a, j + (i - k)) == c)
+                found = found.bitwiseOR(F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)))
+            return found
 
-    def agreement(c: Column, j: Column) -> Column:
-        bits = F.lit(0)
-        for i in range(width):
-            hit = (j + (i - k) >= 0) & (F.get("_vf_a", j + (i - k)) == c)
-            bits = bits.bitwiseOR(F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)))
-        return bits
+        return F.transform(b, bits)
 
     start = F.struct(*[F.lit(sum(1 << (k + r) for r in range(e + 1))).alias(f"w{e}") for e in range(k + 1)])
 
@@ -196,58 +226,76 @@ def with_distance(pairs: DataFrame, a: str, b: str, max_edits: int) -> DataFrame
             words.append(word.bitwiseAND(F.lit((1 << width) - 1)))
         return F.struct(*[w.alias(f"w{e}") for e, w in enumerate(words)])
 
-    end = F.size("_vf_a") - F.size("_vf_b") + k
-
-    def result(seen: Column) -> Column:
+    def fewest(seen: Column, end: Column) -> Column:
         answer = F.lit(None).cast("int")
         for e in reversed(range(k + 1)):
             met = F.call_function("shiftright", seen[f"w{e}"], end).bitwiseAND(F.lit(1)) == 1
             answer = F.when(met, F.lit(e)).otherwise(answer)
         return answer
 
-    distance = F.aggregate(F.transform("_vf_b", agreement), start, step, result)
-    return ready.withColumn("distance", F.when(end.between(0, 2 * k), distance)).drop("_vf_a", "_vf_b")
+    def run(pair: Column) -> Column:
+        end = F.size(pair["a"]) - F.size(pair["b"]) + k
+        return F.aggregate(agreements(pair["a"], pair["b"]), start, step, lambda seen: fewest(seen, end))
 
+    def middles(pair: Column) -> Column:
+        # an empty middle is split into one empty text, whose code 0 equals no character
+        cut = [F.substring(pair[x], pair["head"] + 1, F.length(pair[x]) - pair["head"] - pair["tail"]) for x in "ab"]
+        return _let(F.struct(codes(cut[0]).alias("a"), codes(cut[1]).alias("b")), run)
 
-def links(rows: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, rate: float = RATE, hot: int = HOT) -> DataFrame:
+    # equal beginnings and ends do not change the distance
+    pair = _let(F.struct(a.alias("a"), b.alias("b")), _with_ends)
+    return F.when(F.abs(F.length(a) - F.length(b)) <= k, _let(pair, middles))
+
+
+def links(rows: DataFrame, firsts: DataFrame, max_edits: int = MAX_EDITS, rate: float = RATE) -> DataFrame:
     """Verified pairs of distinct lines: ``a_row``, ``a_place``, ``b_row``, ``b_place``, ``distance``."""
-    pairs = materialize(candidates(rows, firsts, max_edits, rate, hot))
-    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{x}_row").alias("row"), F.col(f"{x}_place").alias("place")) for x in "ab"])).alias("e"))
-    places = ends.select("e.*").distinct().groupBy("row").agg(F.collect_list("place").alias("places"))
-    shown = materialize(_texts(rows, places))
+    pairs = candidates(rows, firsts, max_edits, rate)
+    ends = F.array(*[F.struct(F.col(f"{x}_row").alias("row"), F.col(f"{x}_place").alias("place")) for x in "ab"])
+    places = pairs.select(F.explode(ends).alias("e")).select("e.*").distinct().groupBy("row").agg(F.collect_list("place").alias("places"))
+    shown = _texts(rows, places)
     for x in "ab":
         side = shown.select(F.col("row").alias(f"{x}_row"), F.col("place").alias(f"{x}_place"), F.col("line").alias(x))
         pairs = pairs.join(side, [f"{x}_row", f"{x}_place"])
-    found = with_distance(pairs, "a", "b", max_edits)
+    found = pairs.withColumn("distance", edit_distance(F.col("a"), F.col("b"), max_edits))
     shorter = F.least(F.length("a"), F.length("b"))
     return found.where(F.col("distance") <= allowed(shorter, max_edits, rate)).drop("a", "b")
 
 
 def dedup_lines(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", max_edits: int = MAX_EDITS, rate: float = RATE, hot: int = HOT
+    documents: DataFrame, key: str = "doc_id", text: str = "text", max_edits: int = MAX_EDITS, rate: float = RATE
 ) -> DataFrame:
     """Documents with the lines that stay, and ``n_lines``, ``n_equal`` and ``n_near``: all lines, and those removed of each kind."""
     numbered, renamed = _numbered(documents, key)
     rows = numbered.select(F.col("_vf_row").alias("row"), F.col(text).cast("string").alias("text"))
     firsts = materialize(_first_lines(rows))
-    found = links(rows, firsts, max_edits, rate, hot)
+    found = links(rows, firsts, max_edits, rate)
     a, b = (F.struct(F.col(f"{x}_row").alias("row"), F.col(f"{x}_place").alias("place")) for x in "ab")
-    late = found.select(F.greatest(a, b).alias("late")).select("late.*").groupBy("row").agg(F.collect_set("place").alias("late"))
-    settled = materialize(firsts.join(late, "row", "left"))
-    settled = settled.select(F.col("row").alias("_vf_row"), F.col("places").alias("_vf_firsts"), F.col("late").alias("_vf_late"))
-    joined = numbered.join(settled, "_vf_row", "left").withColumn("_vf_lines", _lines(F.col(text).cast("string")))
+    # never null: without the coalesce a null test would be pushed down to the pairs and compute them anew
+    later = F.coalesce(F.greatest(a, b), a)
+    late = found.select(later.alias("late")).select(F.coalesce("late.row", F.lit(-1)).alias("row"), "late.place")
+    late = late.groupBy("row").agg(F.collect_set("place").alias("late"))
+    settled = firsts.join(late, "row", "left").select(F.col("row").alias("_vf_row"), F.col("places").alias("_vf_firsts"), F.col("late").alias("_vf_late"))
     none = F.array().cast("array<int>")
-    blank = F.filter(F.transform("_vf_lines", lambda line, i: F.when(_is_blank(line), i)), lambda i: i.isNotNull())
-    stays = F.array_except(F.coalesce("_vf_firsts", none), F.coalesce("_vf_late", none))
-    joined = joined.withColumn("_vf_blank", blank).withColumn("_vf_stay", F.array_sort(F.concat("_vf_blank", stays)))
-    n_first = F.size(F.coalesce("_vf_firsts", none))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_vf_lines"))
+    firsts_of, late_of = F.coalesce("_vf_firsts", none), F.coalesce("_vf_late", none)
+
+    def blanks(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda line, i: F.when(_is_blank(line), i)), lambda i: i.isNotNull())
+
+    def cut(doc: Column) -> Column:
+        stays = F.array_sort(F.concat(doc["blank"], F.array_except(firsts_of, late_of)))
+        kept = F.array_join(F.transform(stays, lambda i: F.get(doc["lines"], i)), _BREAK)
+        return F.struct(F.size(doc["lines"]).alias("n"), F.size(doc["blank"]).alias("blank"), kept.alias("text"))
+
+    lines_of = _lines(F.col(text).cast("string"))
+    settled_doc = _let(_let(lines_of, lambda lines: F.struct(lines.alias("lines"), blanks(lines).alias("blank"))), cut)
+    joined = numbered.join(settled.hint("shuffle_hash"), "_vf_row", "left").withColumn("_vf_doc", F.when(F.col(text).isNotNull(), settled_doc))
+    zero = F.lit(0)
     result = joined.withColumns(
         {
-            "n_lines": n_lines.cast("bigint"),
-            "n_equal": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_vf_lines") - F.size("_vf_blank") - n_first).cast("bigint"),
-            "n_near": F.size(F.coalesce("_vf_late", none)).cast("bigint"),
-            text: F.array_join(F.transform("_vf_stay", lambda i: F.get("_vf_lines", i)), _BREAK),
+            "n_lines": F.coalesce(F.col("_vf_doc.n"), zero).cast("bigint"),
+            "n_equal": F.coalesce(F.col("_vf_doc.n") - F.col("_vf_doc.blank") - F.size(firsts_of), zero).cast("bigint"),
+            "n_near": F.size(late_of).cast("bigint"),
+            text: F.col("_vf_doc.text"),
         }
     )
     if renamed:

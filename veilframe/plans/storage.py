@@ -46,7 +46,7 @@ def _strip_sql(c: str) -> str:
 def scan_csv_clean(spark, sf):
     path = scratch_path(spark, "csv")
     files.write_csv(_awkward(spark, sf), path)
-    return files.read_csv(spark, path).toDF("key", "name", "segment", "nation")
+    return files.read_csv(spark, path, multiline=True).toDF("key", "name", "segment", "nation")
 
 
 @query(
@@ -76,7 +76,7 @@ def sink_csv_roundtrip(spark, sf):
 def load_csv_table(spark, sf):
     path = scratch_path(spark, "csv")
     files.write_csv(_awkward(spark, sf), path)
-    rows = files.read_csv(spark, path).withColumn("_order", F.col("Key").cast("bigint"))
+    rows = files.read_csv(spark, path, multiline=True).withColumn("_order", F.col("Key").cast("bigint"))
     target = scratch_path(spark, "table")
     name = files.table_name_for(target)
     # created, then appended to: ids go on

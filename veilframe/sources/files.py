@@ -12,11 +12,11 @@ from ..functions import parse
 from ..operators.ordering import with_position
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """All-text CSV with stripped header names and values; missing cells are empty text.
 
-    ``multiline`` admits line ends inside quotes at the price of one task per
-    file; switch it off for few, huge files without such values.
+    Files are split among tasks. ``multiline`` admits line ends inside quotes, at the
+    price of one task per file.
     """
     raw = (
         spark.read.option("header", True)

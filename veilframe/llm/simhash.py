@@ -21,7 +21,7 @@ never dropped; empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -156,13 +156,18 @@ def fingerprint_links(
     return together.mapInArrow(run, "a bigint, b bigint")
 
 
-def group_table(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def group_table(
+    prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, blocks: int = BLOCKS, links: DataFrame | None = None
+) -> DataFrame:
     """For fingerprints with company: ``fp`` and ``component`` (the group's smallest id).
 
-    ``prints`` has one row per document, with columns ``key`` and ``fp``.
+    ``prints`` has one row per document, with columns ``key`` and ``fp``; ``links`` between
+    fingerprints may be given instead of the distance.
     """
     values = materialize(prints.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")))
-    linked = connected_components(fingerprint_links(values.select("fp"), max_bits, blocks))
+    if links is None:
+        links = fingerprint_links(values.select("fp"), max_bits, blocks)
+    linked = connected_components(links)
     rooted = values.join(linked.withColumnRenamed("node", "fp"), "fp")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     grouped = rooted.join(smallest, "root").select("fp", "component")
@@ -177,9 +182,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return prints.join(groups, "fp", "left").select(key, "fp", F.coalesce("component", F.col(key)).alias("component"))
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how
+) -> DataFrame:
     """One document of each group stays, the one with the smallest id; of rows repeating an id one stays."""
-    grouped = materialize(near_duplicates(documents, key, text, **how))
+    grouped = materialize(find(documents, key, text, **how))
     drop = grouped.where(F.col(key) != F.col("component")).select(key).distinct()
     kept = documents.join(drop, key, "left_anti")
     repeated = grouped.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > 1).select(key)

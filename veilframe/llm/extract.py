@@ -4,10 +4,11 @@ A page is read into a tree of elements. Parts that are never article text by the
 element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) are left out. For every remaining node the density is
 its characters per tag, adjusted by the share of characters and tags in links; a node's
-density sum is the sum over its children. Where a page marks its ``article`` elements (or
-else ``main``), the one that holds the largest sum is the result. Otherwise the node with
-the largest sum is the core, the least density on the path from it to the body is the
-threshold, and the core is completed by the best node of every branch that reaches it.
+density sum is the sum over its children. The node with the largest sum is the core, the
+least density on the path from it to the body is the threshold, and the core is completed
+by the best node of every branch that reaches it. Where a page marks ``article`` elements
+(or else ``main``), the outermost of those that reach the threshold are the result instead
+if they hold more than half of the text so found; otherwise the marks count for nothing.
 
 Text is decoded after the markup is cut; blocks end at block elements and line breaks,
 white space inside a block becomes one space, blocks are joined by one space. Nothing is
@@ -69,6 +70,8 @@ _ASIDE_NAMES = re.compile(
     r"toolbar|pager|pagination|skip-?link|copyright)(?:$|[\s_-])",
     re.I,
 )
+# Of these, the ones that an article or main element is not the article with; the others tell of its layout.
+_NOT_ARTICLE = re.compile(r"comment|(?:^|[\s_-])(?:ads?|adsense|advert\w*|sponsor\w*|promo\w*|related|recommend\w*)(?:$|[\s_-])", re.I)
 _ARTICLE_PART = re.compile(r"(?:^|[\s_-])(?:article|entry|post|content|story)(?:$|[\s_-])", re.I)
 
 
@@ -92,7 +95,7 @@ def _is_aside(tag: str, attributes: str, forms: bool) -> bool:
                 return True
         elif tag not in ("html", "body") and (found := _ASIDE_NAMES.search(value)):
             own_header = "header" in found[0].lower() and _ARTICLE_PART.search(value)
-            if not own_header and not (tag in _ARTICLE and "comment" not in value.lower()):
+            if not own_header and (tag not in _ARTICLE or _NOT_ARTICLE.search(value)):
                 return True
     return False
 
@@ -226,6 +229,24 @@ def _best(tree: _Tree, density: list[float], total: list[float]) -> list[int]:
     return best
 
 
+def _marked(tree: _Tree, dense: list[int]) -> set[int]:
+    """Of the dense nodes the outermost ``article`` elements, or else the outermost ``main``."""
+    for tag in ("article", "main"):
+        holders = {k for k in dense if tree.tags[k] == tag}
+        if holders:
+            inner = _within(tree, holders)
+            return {k for k in holders if not inner[tree.parent[k]]}
+    return set()
+
+
+def _within(tree: _Tree, chosen: set[int]) -> list[bool]:
+    """Whether each node is one of the chosen or inside one."""
+    within = [False] * len(tree.tags)
+    for k in range(len(within)):
+        within[k] = k in chosen or (k > 0 and within[tree.parent[k]])
+    return within
+
+
 def main_text(page: str) -> str:
     """The article text of one page."""
     tree = _parse(page)
@@ -236,27 +257,20 @@ def main_text(page: str) -> str:
     density, total = _densities(tree)
     best = _best(tree, density, total)
     n = len(density)
-    holders = [k for k in range(n) if tree.tags[k] == "article"] or [k for k in range(n) if tree.tags[k] == "main"]
-    holders = [k for k in holders if density[k]]
-    if holders:
-        chosen = {max(holders, key=lambda k: (total[best[k]], density[k], -k))}
-        k = next(iter(chosen))
-        while (k := tree.parent[k]) >= 0:  # an article inside an article belongs to the outer one
-            if k in holders:
-                chosen = {k}
-    else:
-        k, threshold = best[0], math.inf
-        while k >= 0:
-            threshold = min(threshold, density[k])
-            k = tree.parent[k]
-        chosen, reached = set(), [False] * n
-        for k in range(n):
-            if density[k] >= threshold and (k == 0 or reached[tree.parent[k]]):
-                reached[k] = True
-                chosen.add(best[k])
-    within = [False] * n
+    k, threshold = best[0], math.inf
+    while k >= 0:
+        threshold = min(threshold, density[k])
+        k = tree.parent[k]
+    chosen, reached = set(), [False] * n
     for k in range(n):
-        within[k] = k in chosen or (k > 0 and within[tree.parent[k]])
+        if density[k] >= threshold and (k == 0 or reached[tree.parent[k]]):
+            reached[k] = True
+            chosen.add(best[k])
+    marked = _marked(tree, [k for k in range(n) if density[k] >= threshold])
+    by_density, by_mark = _within(tree, chosen), _within(tree, marked)
+    found = sum(c for c, inside in zip(tree.chars, by_density) if inside)
+    confirmed = sum(c for c, one, other in zip(tree.chars, by_density, by_mark) if one and other)
+    within = by_mark if 2 * confirmed > found else by_density
     parts = [" " if p is None else p[1] for p in tree.pieces if p is None or within[p[0]]]
     return " ".join("".join(parts).split())
 

@@ -98,17 +98,22 @@ def _texts(rows: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(places.hint("shuffle_hash"), "row").select("row", F.explode(wanted).alias("w")).select("row", "w.place", "w.line")
 
 
-_INDEX = 3  # marks index rows where probes have their d, 0 to 2
+_WIDEST = 15  # edits at which the automaton's band still fits 31 bits
+
+
+def _index(max_edits: int) -> int:
+    """Marks index rows where probes have their d, 0 to ``max_edits``."""
+    return max(3, max_edits + 1)
 
 
 def _choices(max_edits: int) -> Column:
-    """The pieces to take of a line: edits k, shortness d of the other line (or ``_INDEX``), segment i, shift o of its place."""
-    if max_edits >= _INDEX:
-        raise ValueError(f"at most {_INDEX - 1} edits")
+    """The pieces to take of a line: edits k, shortness d of the other line (or ``_index``), segment i, shift o of its place."""
+    if max_edits > _WIDEST:
+        raise ValueError(f"at most {_WIDEST} edits")
     found = []
     for k in range(1, max_edits + 1):
         for i in range(1, k + 2):
-            found.append((k, _INDEX, i, 0))
+            found.append((k, _index(max_edits), i, 0))
             for d in range(k + 1):
                 # i - 1 edits can lie before the segment, k + 1 - i after it
                 low, high = max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i))
@@ -139,7 +144,7 @@ def _pieces(lines: DataFrame, max_edits: int, rate: float) -> DataFrame:
     """Index and probe rows: ``h`` (hash of length, segment number and piece), ``row``, ``place``, ``bits`` (counts, and d above them)."""
     measured = lines.select("row", "place", "line", F.length("line").alias("n"), _counts(F.col("line")).alias("counts"))
     shown = measured.select("*", F.explode(_choices(max_edits)).alias("c"))
-    length = F.col("n") - F.col("c.d") % _INDEX  # of the indexed line
+    length = F.col("n") - F.col("c.d") % _index(max_edits)  # of the indexed line
     k, i = F.col("c.k"), F.col("c.i")
     fits = shown.where((length > 0) & (allowed(length, max_edits, rate) == k))
     base, rest = F.floor(length / (k + 1)).cast("int"), length % (k + 1)
@@ -148,7 +153,8 @@ def _pieces(lines: DataFrame, max_edits: int, rate: float) -> DataFrame:
     size = base + (i > short).cast("int")
     fits = fits.where((start >= 0) & (start + size <= F.col("n")))
     piece = F.substring("line", start + 1, size)
-    bits = F.col("counts").bitwiseOR(F.shiftleft(F.col("c.d"), 30))
+    wide = "int" if max_edits <= 2 else "bigint"  # the counts take 30 bits, d the others
+    bits = F.col("counts").cast(wide).bitwiseOR(F.shiftleft(F.col("c.d").cast(wide), 30))
     return fits.select(F.xxhash64(length, i, piece).alias("h"), "row", "place", bits.alias("bits"))
 
 
@@ -163,7 +169,8 @@ def candidates(rows: DataFrame, firsts: DataFrame, max_edits: int, rate: float)
     pieces = _pieces(_texts(rows, firsts), max_edits, rate)
     d_i, d_p = (F.shiftrightunsigned(f"{x}.bits", 30) for x in "ip")
     # one test of both sides' marks keeps the sides alike, so that they share one shuffle
-    probed = (d_i + d_p * (_INDEX + 1)).isin(*[_INDEX + d * (_INDEX + 1) for d in range(max_edits + 1)])
+    index = _index(max_edits)
+    probed = (d_i + d_p * (index + 1)).isin(*[index + d * (index + 1) for d in range(max_edits + 1)])
     # lines of equal length meet in one direction only
     turned = (d_p > 0) | _before("i", "p")
     near = _differ(F.col("i.bits"), F.col("p.bits")) <= 2 * max_edits

@@ -91,3 +91,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 yield pa.RecordBatch.from_pydict(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+# crc32 of a text's bytes in DuckDB, which lacks the function; {0} is the text
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode({0}))),
+ lambda i: CAST('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+ lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""

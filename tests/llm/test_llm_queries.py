@@ -1,11 +1,14 @@
 """The registered queries over whole small tables: against SQL, or against brute force."""
 
+import base64
 import hashlib
 import html
 import os
 import re
 
+import public_tokenizers
 import pytest
+import tiktoken
 
 import __spark_entry__ as entry
 from tests.harness import connect, spark_rows, sql_rows
@@ -33,7 +36,7 @@ def rows_of(spark, name, *columns):
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) < set(names) and "pipeline" in names
     assert set(SQL) <= set(entry.oracle_sql())
 
@@ -67,6 +70,18 @@ def test_simhash_groups(spark, docs):
     assert rows_of(spark, "op4_simhash_groups", "doc_id", "fingerprint", "component_id") == expected
 
 
+def test_bpe_equals_the_library(spark, docs):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for doc, text, _ in docs:
+        ids = library.encode_ordinary(text or "")
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        expected.append((doc, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert rows_of(spark, "op13_byte_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected
+
+
 def test_secret_spans(spark, docs):
     found = rows_of(spark, "op7_secret_spans", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     for (doc, text, _), row in zip(docs, found):

@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL counterparts."""
 
-from . import decontaminate, extract, lines, mixing, passages, quality, secrets, simhash, topk, warc  # noqa: F401
+from . import bpe, decontaminate, extract, lines, mixing, passages, prefixes, quality, resample, secrets, simhash, topk, warc  # noqa: F401
 from .common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

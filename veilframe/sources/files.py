@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,23 +12,32 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import parse
 from ..operators.ordering import with_position
+from . import quoted
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool | None = None, encoding: str = "UTF-8") -> DataFrame:
     """All-text CSV with stripped header names and values; missing cells are empty text.
 
-    Files are split among tasks. ``multiline`` admits line ends inside quotes, at the
-    price of one task per file.
+    Files are split among tasks. Whether line ends stand inside quotes is found by a pass over the
+    lines with quotes; if some do, records are cut from the split files by ``quoted.records``. ``multiline=False`` leaves that
+    pass out where there are known to be none, ``multiline=True`` reads each file in one task.
     """
+    if multiline is None and encoding.upper().startswith(("UTF-16", "UTF-32")):
+        multiline = True  # their line ends are no single bytes
+    records = quoted.records(spark, path, encoding=encoding) if multiline is None else None
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", multiline)
+        .option("multiLine", bool(multiline) or records is not None)
         .option("encoding", encoding)
         .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)
     )
-    return raw.select(*[parse.blank_to_empty(F.col(f"`{c}`")).alias(c.strip()) for c in raw.columns])
+    names = raw.columns
+    if records is not None:
+        places = ", ".join(f"_{k} string" for k in range(len(names)))
+        raw = records.select(F.from_csv("record", places, {"escape": '"'}).alias("r")).select("r.*").toDF(*names)
+    return raw.select(*[parse.blank_to_empty(F.col(f"`{c}`")).alias(c.strip()) for c in names])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -136,20 +147,25 @@ def read_layout(spark: SparkSession, path: str) -> list[FieldSpan]:
     return widths_layout([(r["name"], r["width"]) for r in usable])
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Lines of text files in a byte or UTF-8 encoding with their ``file``; empty lines are left out."""
-    lines = spark.read.text(path)
-    value = F.col("value")
-    if encoding.upper() not in ("UTF-8", "UTF8"):
-        value = F.decode(value.cast("binary"), encoding)
-    origin = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return lines.select(value.alias("value"), *origin).where(F.length("value") > 0)
+def _single_bytes(encoding: str) -> bool:
+    return encoding.upper() not in ("UTF-8", "UTF8")
 
 
-def cut_fields(line: Column, layout: list[FieldSpan]) -> list[Column]:
-    """One stripped text per field; fields beyond a short line are empty."""
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of text files as they are; empty lines are left out."""
+    return spark.read.text(paths).where(F.octet_length("value") > 0)
+
+
+def cut_fields(line: Column, layout: list[FieldSpan], encoding: str = "UTF-8") -> list[Column]:
+    """One stripped text per field; fields beyond a short line are empty.
+
+    In an encoding of one byte per character each field is cut from the bytes and decoded alone.
+    """
+    if not _single_bytes(encoding):
+        return [parse.strip(F.substring(line, f.start, f.end - f.start + 1)).alias(f.name) for f in layout]
+    raw = line.cast("binary")
     return [
-        parse.strip(F.substring(line, f.start, f.end - f.start + 1)).alias(f.name) for f in layout
+        parse.strip(F.decode(F.substring(raw, f.start, f.end - f.start + 1), encoding)).alias(f.name) for f in layout
     ]
 
 
@@ -158,41 +174,82 @@ def read_fixed_width(
 ) -> DataFrame:
     """Fixed-width records; without a layout each file's follows from its first line.
 
-    Files of both layouts give the fields of both; those a record's layout lacks are null.
+    Files of both layouts give the fields of both; those a record's layout lacks are null. Each layout is one scan
+    of its own files, whose byte ranges Spark splits as ever: lines are neither shuffled nor joined, and
+    unused fields are not cut.
     """
-    lines = read_lines(spark, path, encoding)
     if layout:
-        return lines.select(*cut_fields(F.col("value"), layout))
+        return read_lines(spark, path).select(*cut_fields(F.col("value"), layout, encoding))
     layouts = detect_layouts(spark, path, encoding)
-    kinds = sorted(r["person"] for r in layouts.select("person").distinct().collect())
-    if not kinds:
+    if not layouts:
         raise ValueError("no lines to detect a layout from")
-    if len(kinds) == 1:
-        return lines.select(*cut_fields(F.col("value"), person_layout() if kinds[0] else household_layout()))
-    marked = lines.join(layouts, "file")
-    spans = {f.name: {} for f in [*household_layout(), *person_layout()]}
+    scans = []
     for person, fields in ((False, household_layout()), (True, person_layout())):
-        for f in fields:
-            spans[f.name][person] = f
-    columns = []
-    for name, found in spans.items():
-        cut = {person: cut_fields(F.col("value"), [f])[0] for person, f in found.items()}
-        value = F.when(F.col("person"), cut.get(True)) if True in cut else F.when(~F.col("person"), cut[False])
-        if len(cut) == 2:
-            value = value.otherwise(cut[False])
-        columns.append(value.alias(name))
-    return marked.select(*columns)
-
-
-def detect_layouts(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """``file`` and whether it has the ``person`` layout.
-
-    It has when its first non-blank line, line end included, has 200 characters or more.
+        if files := sorted(f for f, kind in layouts.items() if kind == person):
+            lines = read_lines(spark, [_as_path(spark, f) for f in files])
+            scans.append(lines.select(*cut_fields(F.col("value"), fields, encoding)))
+    both = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1], allowMissingColumns=True)
+    return both
+
+
+HEAD_BYTES = 4096
+HEAD_READERS = 16
+
+
+def _hadoop_path(spark: SparkSession, uri: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+
+
+def _as_path(spark: SparkSession, uri: str) -> str:
+    """A listed file as a path for a reader, in which pattern characters stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", _hadoop_path(spark, uri).toString())
+
+
+def first_line(spark: SparkSession, uri: str, enough: int) -> bytes | None:
+    """The first line of a file that is not blank, or its beginning if it has ``enough`` bytes; null without such a line.
+
+    Read from the head of the file through the file system that Spark itself uses, compressed or not.
+    """
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    at = _hadoop_path(spark, uri)
+    stream = at.getFileSystem(conf).open(at)
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    rest = b""
+    try:
+        while more := bytes(stream.readNBytes(HEAD_BYTES)):
+            *lines, rest = re.split(rb"\r\n|\r|\n", rest + more)
+            for line in lines:
+                if line.strip():
+                    return line
+            if rest.strip():
+                if len(rest) >= enough:
+                    return rest
+            elif len(rest) > enough:  # blanks so far; only their number matters
+                rest = rest[:enough]
+        return rest if rest.strip() else None
+    finally:
+        stream.close()
+
+
+def detect_layouts(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> dict[str, bool]:
+    """By file whether it has the person layout; files without lines are left out.
+
+    It has when its first non-blank line, line end included, has 200 characters or more. Only the heads of the
+    files are read, several at a time; the result is as long as the list of files that every scan keeps.
     """
-    lines = read_lines(spark, path, encoding).where(~parse.is_blank(F.col("value")))
-    lines = lines.withColumn("row", F.monotonically_increasing_id())
-    first = lines.groupBy("file").agg(F.min_by(F.length("value"), F.struct("block", "row")).alias("n"))
-    return first.select("file", (F.col("n") + 1 >= K.PERSON_LINE_LENGTH).alias("person"))
+    enough = 4 * K.PERSON_LINE_LENGTH  # a character has four bytes at most
+
+    def person(uri: str) -> bool | None:
+        line = first_line(spark, uri, enough)
+        return None if line is None else len(line.decode(encoding, "replace")) + 1 >= K.PERSON_LINE_LENGTH
+
+    listed = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(HEAD_READERS) as readers:
+        kinds = dict(zip(listed, readers.map(person, listed)))
+    return {file: kind for file, kind in kinds.items() if kind is not None}
 
 
 def unpivot_days(persons: DataFrame, keys: list[str]) -> DataFrame:

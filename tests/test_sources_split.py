@@ -75,7 +75,7 @@ def test_a_quote_that_is_not_closed_is_an_error(small_ranges, tmp_path):
 @pytest.mark.parametrize(
     "line,outside,inside",
     [("", False, True), ("a,b", False, True), ('"', True, False), ('a,"b', True, False), ('a"b', False, False), ('""', False, True),
-     ('"a""', True, False), ('"a"",b",c', False, False), ('x","y', False, True), ('","', False, True)],
+     ('"a""', True, False), ('"a"",b",c', False, False), ('x","y', True, True), ('","', False, True)],
 )
 def test_what_a_line_does_to_both_states(line, outside, inside):
     assert quoted.stays_open(line, False) is outside and quoted.stays_open(line, True) is inside

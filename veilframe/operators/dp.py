@@ -6,11 +6,15 @@ and noise keyed by the query is added to the one-row (or per-group) result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import keyed
+from ..session import materialize
+from .ordering import with_position
 from .reports import budget_level, budget_percent, budget_warning, degradation_factor
 
 COMPARISONS = {
@@ -247,43 +251,44 @@ def invalid_request(tables: dict[str, list[str]]) -> Column:
 
 
 def answer_requests(
-    decisions: DataFrame, df: DataFrame, bounds: dict[str, tuple[float, float]], secret: str, max_specs: int = MAX_SPECS
+    decisions: DataFrame, df: DataFrame, bounds: dict[str, tuple[float, float]], secret: str, max_specs: int = MAX_SPECS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Answer a log of decided requests with their own fields and filters, in one pass over the table.
+    """Answer a log of decided requests with their own fields and filters.
 
     ``decisions`` as for ``answer_log`` with field_name, filter_field, filter_operator and
-    filter_value (no filter: null). ``bounds`` gives the public bounds of each field. The
-    different (field, filter) pairs, at most ``max_specs``, become conditional aggregates.
+    filter_value (no filter: null); its columns ``keep`` are kept. ``bounds`` gives the public bounds of each field. The
+    different (field, filter) pairs become conditional aggregates, ``max_specs`` of them per pass over the table,
+    as many passes as they need.
     """
     names = ["field_name", "filter_field", "filter_operator", "filter_value"]
-    wanted = decisions.select(*names).distinct().orderBy(*names).limit(max_specs + 1).collect()
-    if len(wanted) > max_specs:
-        raise ValueError(f"more than {max_specs} pairs of field and filter; answer the log in parts")
-    aggregates, rows = [], []
-    for i, w in enumerate(wanted):
-        value = F.col(f"`{w['field_name']}`")
-        if w["filter_field"] is not None:
-            value = F.when(COMPARISONS[w["filter_operator"]](F.col(f"`{w['filter_field']}`"), F.lit(w["filter_value"])), value)
-        lower, upper = (float(x) for x in bounds[w["field_name"]])
-        aggregates.append(F.struct(*_statistics(value, lower, upper)).alias(f"s{i}"))
-        rows.append(F.struct(F.lit(i).alias("spec"), F.lit(lower).alias("_lower"), F.lit(upper).alias("_upper"), F.col(f"s{i}").alias("s")))
-    if not wanted:
-        aggregates, rows = [F.count(F.lit(1)).alias("s0")], []
-    spark = decisions.sparkSession
-    types = dict(decisions.dtypes)
-    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", spec int"
-    listed = spark.createDataFrame([(*[w[n] for n in names], i) for i, w in enumerate(wanted)], schema)
+    pairs = decisions.select(*names).distinct()
+    listed = materialize(with_position(pairs, names, "spec").withColumn("spec", F.col("spec").cast("int")))
+    number = listed.count()
+    stats = []
+    for start in range(0, number, max_specs):
+        wanted = listed.where((F.col("spec") >= start) & (F.col("spec") < start + max_specs)).collect()
+        aggregates, rows = [], []
+        for w in wanted:
+            i, value = w["spec"], F.col(f"`{w['field_name']}`")
+            if w["filter_field"] is not None:
+                value = F.when(COMPARISONS[w["filter_operator"]](F.col(f"`{w['filter_field']}`"), F.lit(w["filter_value"])), value)
+            lower, upper = (float(x) for x in bounds[w["field_name"]])
+            aggregates.append(F.struct(*_statistics(value, lower, upper)).alias(f"s{i}"))
+            rows.append(F.struct(F.lit(i).alias("spec"), F.lit(lower).alias("_lower"), F.lit(upper).alias("_upper"), F.col(f"s{i}").alias("s")))
+        stats.append(df.agg(*aggregates).select(F.inline(F.array(*rows))).select("spec", "_lower", "_upper", "s.*"))
+    if not stats:
+        empty = "spec int, _lower double, _upper double, _n bigint, _nonzero bigint, _sum double, _mean double, _var double"
+        stats = [decisions.sparkSession.createDataFrame([], empty)]
     same = [decisions[n].eqNullSafe(listed[n]) for n in names]
-    marked = decisions.join(F.broadcast(listed), same).select(*[decisions[c] for c in decisions.columns], "spec")
-    if not rows:
-        stats = spark.createDataFrame([], "spec int, _lower double, _upper double, _n bigint, _nonzero bigint, _sum double, _mean double, _var double")
-    else:
-        stats = df.agg(*aggregates).select(F.inline(F.array(*rows))).select("spec", "_lower", "_upper", "s.*")
+    marked = decisions.join(listed, same).select(*[decisions[c] for c in decisions.columns], "spec")
     u = keyed.uniform(secret, "dp_answer", "request", F.concat("field_name", F.lit("|"), F.col("query_id").cast("string")))
-    return _answers(marked, stats, u)
+    return _answers(marked, reduce(DataFrame.unionByName, stats), u, number <= MAX_SPECS, keep)
 
 
-def _answers(decisions: DataFrame, stats: DataFrame, u: Column) -> DataFrame:
+def _answers(
+    decisions: DataFrame, stats: DataFrame, u: Column, few: bool = True, keep: list[str] | None = None
+) -> DataFrame:
     """Private answers of decided queries from the exact statistics of their ``spec``.
 
     Noise scales are solved once per (spec, query type, degradation), 20 rows a spec, and
@@ -322,7 +327,9 @@ def _answers(decisions: DataFrame, stats: DataFrame, u: Column) -> DataFrame:
     scale = F.when(
         bounded_kind, keyed.bounded_laplace_scale(eps, F.col("_reach"), F.col("_top") - F.col("_bottom"))
     ).otherwise(F.col("_reach") / eps)
-    mechanisms = F.broadcast(prepared.withColumn("noise_scale", scale))
+    mechanisms = prepared.withColumn("noise_scale", scale)
+    if few:  # at most 20 rows for each of MAX_SPECS
+        mechanisms = F.broadcast(mechanisms)
 
     percent = budget_percent()
     asked = decisions.withColumn("degradation_factor", degradation_factor(percent)).withColumn("_percent", percent)
@@ -352,6 +359,7 @@ def _answers(decisions: DataFrame, stats: DataFrame, u: Column) -> DataFrame:
         F.when(accepted, F.col("noise_scale")).alias("noise_scale"),
         budget_level(F.col("_percent")).alias("budget_status"),
         budget_warning(F.col("_percent")).alias("warning"),
+        *(keep or []),
     )
 
 

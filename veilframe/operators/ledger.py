@@ -58,9 +58,12 @@ def normalize(
     resets: DataFrame | None = None,
     opening: DataFrame | None = None,
     rule: str = "hourly",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Bring queries, admin resets and opening ledgers into one event table.
 
+    ``carry`` names columns of the queries that go through the fold with them, as ``carried``.
+
     queries: holder, query_id, ts, query_type, cost_cents (positive); holder and ts not null
     resets:  holder, reset_id, ts, max_cents
     opening: holder, max_cents, remaining_units, last_refill_s (a former fold's ledgers)
@@ -81,6 +84,7 @@ def normalize(
         cost.cast("bigint").alias("cents"),
         F.lit(0).cast("bigint").alias("set_units"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     per_cent = UNITS_PER_CENT[rule]
     if resets is not None:
@@ -94,7 +98,8 @@ def normalize(
                 _known("max_cents", "max_cents").cast("bigint").alias("cents"),
                 (_known("max_cents", "max_cents").cast("bigint") * per_cent).alias("set_units"),
                 F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"),
-            )
+            ),
+            allowMissingColumns=bool(carry),
         )
     if opening is not None:
         events = events.unionByName(
@@ -107,7 +112,8 @@ def normalize(
                 F.col("max_cents").cast("bigint").alias("cents"),
                 F.col("remaining_units").cast("bigint").alias("set_units"),
                 F.col("last_refill_s").cast("bigint").alias("at_s"),
-            )
+            ),
+            allowMissingColumns=bool(carry),
         )
     return events
 
@@ -489,14 +495,15 @@ def ledger_fold(
     refill_cents: int = K.HOURLY_REFILL_CENTS,
     resets: DataFrame | None = None,
     opening: DataFrame | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Accept or refuse every query of a log against its holder's budget."""
-    events = normalize(queries, holder, resets, opening, rule)
+    """Accept or refuse every query of a log against its holder's budget; ``carry`` as in ``normalize``."""
+    events = normalize(queries, holder, resets, opening, rule, carry)
     return fold_events(events, rule, max_cents, refill_cents)
 
 
 def decisions(folded: DataFrame, holder: str = "user_id", rule: str = "hourly") -> DataFrame:
-    """Query decisions with amounts in epsilon."""
+    """Query decisions with amounts in epsilon, and the columns carried through the fold."""
     return folded.where(F.col("kind") == QUERY).select(
         F.col("holder").alias(holder),
         F.col("event_id").alias("query_id"),
@@ -507,6 +514,7 @@ def decisions(folded: DataFrame, holder: str = "user_id", rule: str = "hourly")
         epsilon("refill_units", rule).alias("refill"),
         epsilon("remaining_units", rule).alias("epsilon_remaining"),
         (F.col("max_cents") / F.lit(100.0)).alias("max_epsilon"),
+        *(["carried.*"] if "carried" in folded.columns else []),
     )
 
 

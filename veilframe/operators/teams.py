@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import materialize
 from .ordering import with_running_total
 
+_ASKED = ["query_id", "user_id", "team_id", "ts", "table_name", "field_name", "query_type"]
+
 
 def roster(memberships: DataFrame, teams: DataFrame, ledger: DataFrame) -> DataFrame:
     """Active members with team data and remaining epsilon (null without a ledger)."""
@@ -43,19 +46,27 @@ def fingerprint(*parts: str):
 
 def _counts_at(probes: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Queries of the same key group up to each probe, as a running total over all groups."""
-    ordered = probes.select("query_id", "moment", "is_query", "side", *keys)
-    order = [*keys, "moment", "side", "query_id"]
-    return with_running_total(ordered, order, {name: F.col("is_query")}).select("query_id", "side", name)
+    ordered = probes.select("_nth", "query_id", "moment", "is_query", "side", *keys)
+    order = [*keys, "moment", "side", "query_id", "_nth"]
+    return with_running_total(ordered, order, {name: F.col("is_query")}).select("_nth", "side", name)
+
 
+def factors(similar: str, own: str) -> list[Column]:
+    """Number of like queries, whether a teammate asked one, and the cost factor."""
+    none, same, other = K.SIMILAR_MULTIPLIER
+    cross = F.col(similar) > F.col(own)
+    factor = F.when(F.col(similar) == 0, none).when(cross, other).otherwise(same)
+    return [
+        F.col(similar).alias("similar_queries_detected"), cross.alias("cross_user_detection"), factor.alias("budget_multiplier")
+    ]
 
-def similar_queries(
-    log: DataFrame, window_seconds: int = K.SIMILAR_WINDOW_SECONDS
-) -> DataFrame:
-    """For each query: earlier like queries of the same team within the window, and the cost factor.
 
-    ``log``: query_id, user_id, team_id, ts, table_name, field_name, query_type.
+def with_similar(log: DataFrame, window_seconds: int = K.SIMILAR_WINDOW_SECONDS) -> DataFrame:
+    """The log with ``_similar`` and ``_own``: earlier like queries within the window, and those of the same user.
+
+    ``log``: query_id, user_id, team_id, ts, table_name, field_name, query_type, and more.
     Like queries share team, table, field and type; of two at the same time the
-    one with the smaller id is earlier.
+    one with the smaller id is earlier. Every row is a query of its own, also where ids repeat.
 
     No pairs are formed. Every query sends two rows, itself and the start of its
     window, into one global order of (group, time); the difference of the running
@@ -63,10 +74,11 @@ def similar_queries(
     (group, user) gives the user's own share, the rest are teammates'. Work is
     two sorts of twice the log, whatever the group sizes.
     """
-    base = log.select(
+    numbered = materialize(log.withColumn("_nth", F.monotonically_increasing_id()))
+    base = numbered.select(
+        "_nth",
         "query_id",
         "user_id",
-        "team_id",
         F.unhex(fingerprint("team_id", "table_name", "field_name", "query_type")).alias("print"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
     )
@@ -83,25 +95,22 @@ def similar_queries(
         end = F.max(F.when(F.col("side") == 1, F.col(total)))
         start = F.max(F.when(F.col("side") == 0, F.col(total)))
         # the query itself is not similar to itself
-        return counts.groupBy("query_id").agg((end - start - 1).alias(name))
+        return counts.groupBy("_nth").agg((end - start - 1).alias(name))
 
-    result = between(team, "team_total", "similar").join(between(own, "own_total", "own"), "query_id")
-    none, same, other = K.SIMILAR_MULTIPLIER
-    cross = F.col("similar") > F.col("own")
-    factor = F.when(F.col("similar") == 0, none).when(cross, other).otherwise(same)
-    return base.select("query_id", "user_id", "team_id").join(
-        result.select(
-            "query_id",
-            F.col("similar").alias("similar_queries_detected"),
-            cross.alias("cross_user_detection"),
-            factor.alias("budget_multiplier"),
-        ),
-        "query_id",
-    )
+    counts = between(team, "team_total", "_similar").join(between(own, "own_total", "_own"), "_nth")
+    return numbered.join(counts, "_nth").drop("_nth")
+
+
+def similar_queries(log: DataFrame, window_seconds: int = K.SIMILAR_WINDOW_SECONDS) -> DataFrame:
+    """For each query the number of earlier like queries of its team, whether a teammate asked one, and the cost factor."""
+    counted = with_similar(log.select(*_ASKED), window_seconds)
+    return counted.select("query_id", "user_id", "team_id", *factors("_similar", "_own"))
 
 
-def charged(log: DataFrame, similar: DataFrame) -> DataFrame:
+def charged(log: DataFrame, window_seconds: int = K.SIMILAR_WINDOW_SECONDS) -> DataFrame:
     """A query log whose ``cost_cents`` carry the similarity factor; the plain cost stays as ``base_cost_cents``."""
-    factor = similar.select("query_id", "budget_multiplier")
+    counted = with_similar(log, window_seconds)
+    factor = factors("_similar", "_own")[-1]
     cost = (F.col("cost_cents") * F.col("budget_multiplier")).cast("bigint")
-    return log.join(factor, "query_id").withColumn("base_cost_cents", F.col("cost_cents")).withColumn("cost_cents", cost)
+    priced = counted.withColumn("budget_multiplier", factor).withColumn("base_cost_cents", F.col("cost_cents"))
+    return priced.withColumn("cost_cents", cost).drop("_similar", "_own")

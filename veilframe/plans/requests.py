@@ -30,19 +30,18 @@ _SIMILAR_SQL = (
         ctes=f"asked AS (SELECT {', '.join(_QUESTION)}, cost_cents FROM log), {_SIMILAR_SQL}",
         source="SELECT user_id, query_id, ts, query_type, cost_cents * factor AS cost_cents, 2 AS kind FROM charged",
     )
-    + " SELECT f.holder AS user_id, f.query_id, c.cost_cents / 100 AS base_epsilon_cost, f.cents / 100 AS effective_epsilon_cost, "
+    + " SELECT f.holder AS user_id, f.query_id // 3 AS query_id, c.cost_cents / 100 AS base_epsilon_cost, f.cents / 100 AS effective_epsilon_cost, "
     "CAST(c.factor AS DOUBLE) AS budget_multiplier, f.accepted, f.units / 100 AS epsilon_remaining FROM fold f JOIN charged c USING (query_id)",
 )
 def similar_queries_charged(spark, sf):
-    """The log folded at the cost that similar queries raise."""
-    log = query_log(spark, sf)
-    similar = materialize(teams.similar_queries(log.selectExpr(*_QUESTION)))
-    costly = materialize(teams.charged(log, similar))
-    folded = ledger.ledger_fold(costly, max_cents=MAX_CENTS, refill_cents=REFILL_CENTS)
-    decided = ledger.decisions(folded).withColumnRenamed("epsilon_cost", "effective_epsilon_cost")
-    base = costly.select("query_id", (F.col("base_cost_cents") / 100.0).alias("base_epsilon_cost"), "budget_multiplier")
-    return decided.join(base, "query_id").select(
-        "user_id", "query_id", "base_epsilon_cost", "effective_epsilon_cost", "budget_multiplier", "accepted", "epsilon_remaining"
+    """The log folded at the cost that similar queries raise; three queries share each id."""
+    log = query_log(spark, sf).selectExpr(*_QUESTION, "cost_cents").withColumn("query_id", F.expr("query_id DIV 3"))
+    folded = ledger.ledger_fold(
+        teams.charged(log), max_cents=MAX_CENTS, refill_cents=REFILL_CENTS, carry=["base_cost_cents", "budget_multiplier"]
+    )
+    return ledger.decisions(folded).select(
+        "user_id", "query_id", (F.col("base_cost_cents") / 100.0).alias("base_epsilon_cost"),
+        F.col("epsilon_cost").alias("effective_epsilon_cost"), "budget_multiplier", "accepted", "epsilon_remaining",
     )
 
 
@@ -93,14 +92,13 @@ def dp_request_log(spark, sf):
     asked = table(spark, sf, "events").selectExpr(*_REQUEST).withColumn("wrong", dp.invalid_request({"lineitem": _FIELDS}))
     cents = F.create_map(*[F.lit(x) for pair in K.QUERY_COST_CENTS.items() for x in pair])
     valid = materialize(asked.where("wrong IS NULL").withColumn("cost_cents", F.element_at(cents, F.col("query_type"))))
-    costly = materialize(teams.charged(valid, teams.similar_queries(valid)))
-    folded = ledger.ledger_fold(costly, max_cents=MAX_CENTS, refill_cents=REFILL_CENTS)
-    request = ["query_id", "base_cost_cents", "field_name", "filter_field", "filter_operator", "filter_value"]
-    decided = materialize(ledger.decisions(folded).join(costly.select(*request), "query_id"))
-    answers = dp.answer_requests(decided, table(spark, sf, "lineitem"), _BOUNDS, SECRET)
-    paid = decided.select("query_id", (F.col("base_cost_cents") / 100.0).alias("base_epsilon_cost"))
-    told = answers.join(paid, "query_id").select(
-        "query_id", "user_id", F.round("result", 4).alias("result"), "error", "base_epsilon_cost",
+    request = ["base_cost_cents", "field_name", "filter_field", "filter_operator", "filter_value"]
+    folded = ledger.ledger_fold(teams.charged(valid), max_cents=MAX_CENTS, refill_cents=REFILL_CENTS, carry=request)
+    decided = materialize(ledger.decisions(folded))
+    answers = dp.answer_requests(decided, table(spark, sf, "lineitem"), _BOUNDS, SECRET, keep=["base_cost_cents"])
+    told = answers.select(
+        "query_id", "user_id", F.round("result", 4).alias("result"), "error",
+        (F.col("base_cost_cents") / 100.0).alias("base_epsilon_cost"),
         F.col("epsilon_cost").alias("effective_epsilon_cost"), "epsilon_remaining", "budget_status",
     )
     refused = asked.where("wrong IS NOT NULL").select("query_id", "user_id", F.col("wrong").alias("error"))

@@ -12,12 +12,12 @@ from ..functions import parse
 from ..operators import classify, privatize, reports
 from ..session import scratch_path
 from ..sources import files, tables
-from ..streaming import jobs
+from ..streaming import jobs, keyed
 from . import budgets
 from .base import (
-    MAX_CENTS, PEOPLE, PEOPLE_COLUMNS, QUERY_LOG, REFILL_CENTS, SECRET, people, query, table,
+    MAX_CENTS, PEOPLE, PEOPLE_COLUMNS, QUERY_LOG, REFILL_CENTS, SECRET, SQL, people, query, table,
 )
-from .privacy import _RELEASED
+from .privacy import _QUESTION, _RELEASED
 
 # ------------------------------------------------------------------ CSV
 # odd headers and values: outer blanks, commas, quotes, line ends, missing cells
@@ -301,3 +301,40 @@ def audit_window_totals(spark, sf):
     events = table(spark, sf, "events")
     counts = jobs.window_counts(events, "ts", "event_type")
     return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+# ------------------------------------------------------------------ keyed streams
+def _in_slices(spark, sf, start) -> None:
+    """Run a stream over the events of each third of the time, one after the other, from one checkpoint."""
+    folder = scratch_path(spark, "event-slices")
+    events = table(spark, sf, "events")
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low or 0)) / F.lit(third))
+    for k in range(3):
+        events.where(part == k).write.mode("append").parquet(folder)
+        _finish(start(spark.readStream.schema(events.schema).parquet(folder)))
+
+
+@query("ledger_stream_keyed", budgets.fold_sql() + " " + budgets._DECISIONS)
+def ledger_stream_keyed(spark, sf):
+    path = scratch_path(spark, "ledger-keyed")
+
+    def start(events):
+        log = events.selectExpr(*QUERY_LOG)
+        return keyed.ledger_stream_keyed(log, f"{path}/rows", f"{path}/checkpoint", max_cents=MAX_CENTS, refill_cents=REFILL_CENTS)
+
+    _in_slices(spark, sf, start)
+    return budgets._decided(keyed.read_keyed(spark, f"{path}/rows"))
+
+
+@query("similar_queries_stream", SQL["similar_queries"])
+def similar_queries_stream(spark, sf):
+    path = scratch_path(spark, "similar-keyed")
+
+    def start(events):
+        log = events.selectExpr(*QUERY_LOG).selectExpr(*_QUESTION)
+        return keyed.similar_queries_stream(log, f"{path}/rows", f"{path}/checkpoint")
+
+    _in_slices(spark, sf, start)
+    return keyed.read_similar(spark, f"{path}/rows")

@@ -255,7 +255,8 @@ def _located(path: str) -> str:
     f"CASE WHEN id % 2 = 0 THEN {pool_noise_sql('CAST(id % 50 AS DOUBLE)', 'history', _located('1|$.history[]'))} END AS second_item, "
     f"CAST({pool_noise_sql('CAST(id AS DOUBLE)', 'points', _located('$.points'))} AS VARCHAR) AS points, "
     "'free text' AS remark, CASE WHEN id % 3 = 0 THEN "
-    f"{pool_noise_sql('salary', 'salary', _located('$.salary'))} END AS salary FROM people",
+    f"{pool_noise_sql('salary', 'salary', _located('$.salary'))} END AS salary FROM people "
+    "UNION ALL SELECT -s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier",
 )
 def anonymize_json_nested(spark, sf):
     # lists of different lengths, a key only some documents have, an inner object
@@ -275,7 +276,11 @@ def anonymize_json_nested(spark, sf):
             )
         ).alias("data"),
     )
-    rewritten = json_rewrite.anonymize_json(rows, "data", SECRET, "id")
+    # lists and plain values among the objects
+    other = table(spark, sf, "supplier").selectExpr(
+        "-s_suppkey AS id", "CASE WHEN s_suppkey % 2 = 0 THEN concat('[', s_suppkey, ']') ELSE CAST(s_suppkey AS STRING) END AS data"
+    )
+    rewritten = json_rewrite.anonymize_json(rows.unionByName(other), "data", SECRET, "id")
 
     def at(path: str):
         return F.get_json_object("data", path)
@@ -295,6 +300,36 @@ def anonymize_json_nested(spark, sf):
     )
 
 
+_RAGGED = (
+    "CASE event_id % 4 WHEN 0 THEN concat('{\"u', user_id, '\":{\"k\":', user_id, ',\"list\":[', event_id, ',true,null]}}') "
+    "WHEN 1 THEN concat('[', event_id, ',{\"n', event_id, '\":\"a', user_id, '@x.org\"}]') WHEN 2 THEN CAST(user_id AS STRING) "
+    "ELSE concat('{\"mix\":', CASE WHEN event_id % 8 = 3 THEN concat('{\"K ', user_id, '\":', user_id, '}') ELSE CAST(user_id AS STRING) END, '}') END"
+)
+
+
+def _ragged_noise(value: str, key: str, row: str, path: str) -> str:
+    return pool_noise_sql(f"CAST({value} AS DOUBLE)", "", f"concat({key}, '|', {row}, '|', {path})")
+
+
+@query(
+    "anonymize_json_ragged",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('{\"u', user_id, '\":{\"k\":', "
+    + _ragged_noise("user_id", "'k'", "event_id", "concat('$.u', user_id, '.k')")
+    + ", ',\"list\":[', " + _ragged_noise("event_id", "'list'", "concat(event_id, '|0')", "concat('$.u', user_id, '.list[]')")
+    + ", ',', " + _ragged_noise("1", "'list'", "concat(event_id, '|1')", "concat('$.u', user_id, '.list[]')")
+    + ", ',null]}}') WHEN 1 THEN concat('[', " + _ragged_noise("event_id", "''", "concat(event_id, '|0')", "'$[]'")
+    + ", ',{\"n', event_id, '\":\"', substr(concat('a', user_id), 1, 2), repeat('*', greatest(1, length(concat('a', user_id)) - 2)), '@x.org\"}]') "
+    "WHEN 2 THEN substr(sha256(CAST(user_id AS VARCHAR)), 1, length(CAST(user_id AS VARCHAR))) "
+    "WHEN 3 THEN CASE WHEN event_id % 8 = 3 THEN concat('{\"mix\":{\"K ', user_id, '\":', "
+    + _ragged_noise("user_id", "concat('k ', user_id)", "event_id", "concat('$.mix.K ', user_id)")
+    + ", '}}') ELSE concat('{\"mix\":', " + _ragged_noise("user_id", "'mix'", "event_id", "'$.mix'") + ", '}') END END AS data FROM events",
+)
+def anonymize_json_ragged(spark, sf):
+    """Documents with ids as keys; lists, plain values and mixed kinds among them."""
+    rows = table(spark, sf, "events").selectExpr("event_id", f"{_RAGGED} AS data")
+    return json_rewrite.anonymize_json_ragged(rows, "data", SECRET, "event_id")
+
+
 @query(
     "scan_json_dataset",
     "SELECT CAST(c_custkey AS BIGINT) AS row_index, c_name AS name, c_acctbal AS balance, "

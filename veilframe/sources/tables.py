@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as K
-from ..operators.json_rewrite import infer_schema
+from ..operators.json_rewrite import infer_schema, opens_with
 
 _NAME = re.compile(r"^[a-zA-Z0-9_]+$")
 # the writers' default stops at milliseconds
@@ -77,11 +78,15 @@ def guarded_sql(
 def scan_dataset(stored: DataFrame, name: str) -> DataFrame:
     """Rows of one stored JSON dataset (dataset_name, row_index, data) as columns.
 
-    The schema is the union of the documents' keys; ``row_index`` gives the order.
+    The schema is the union of the documents' keys; ``row_index`` gives the order. Documents that are no objects
+    keep their row, with nulls.
     """
     rows = stored.where(F.col("dataset_name") == name)
     schema = infer_schema(rows, "data")
-    return rows.select("row_index", F.from_json("data", schema).alias("d")).select("row_index", "d.*")
+    if not isinstance(schema, StructType):  # no object at all
+        return rows.select("row_index")
+    document = F.when(opens_with(F.col("data")) == "{", F.from_json("data", schema))
+    return rows.select("row_index", document.alias("d")).select("row_index", "d.*")
 
 
 def union_ragged(*parts: DataFrame) -> DataFrame:

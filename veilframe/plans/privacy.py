@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import keyed
-from ..operators import checks, dp, json_rewrite, ledger, policy, privatize, teams
+from ..operators import checks, dp, dp_private, json_rewrite, ledger, policy, privatize, teams
 from ..sources import tables
 from . import budgets
 from .base import (
@@ -504,6 +506,50 @@ def dp_grouped(spark, sf):
     )
 
 
+_MONTH_U = uniform_sql("group_release", "q-months", "month")
+_TOTAL_U = uniform_sql("group_total", "q-months", "month")
+_MONTH_T = dp_private.release_threshold(1.0, 1e-5, 3)
+
+
+@query(
+    "dp_grouped_private",
+    "WITH pairs AS (SELECT o_custkey, substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS month, sum(CAST(o_totalprice AS DOUBLE)) AS v FROM orders "
+    f"GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {digest_sql('group_pick', 'q-months', "concat_ws('|', CAST(o_custkey AS VARCHAR), month)")}, "
+    "month) AS nth FROM pairs), g AS (SELECT month, count(*) AS n, sum(least(greatest(v, 0), 300000)) AS s FROM ranked WHERE nth <= 3 GROUP BY month), "
+    f"noisy AS (SELECT *, n + {laplace_sql(_MONTH_U, '3.0')} AS c, s + {laplace_sql(_TOTAL_U, '900000.0')} AS t FROM g) "
+    f"SELECT month, CAST(round_even(c, 0) AS BIGINT) AS persons, round(t, 2) AS total FROM noisy WHERE c >= {_MONTH_T!r}",
+)
+def dp_grouped_private(spark, sf):
+    """Months with enough customers, each customer counting in three months at most."""
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_custkey", "substr(CAST(o_orderdate AS STRING), 1, 7) AS month", "CAST(o_totalprice AS DOUBLE) AS price"
+    )
+    found = dp_private.grouped_private(orders, "o_custkey", "month", SECRET, "q-months", 2.0, 1e-5, 3, "price", 0, 300000)
+    return found.withColumn("total", F.round("total", 2))
+
+
+_BINS = dp_private.HIGHEST - dp_private.LOWEST + 1
+_BIN_LIMIT = math.log((2 * _BINS + 1) / 2e-6) / 0.1
+_EXPONENT = "CAST(floor(log2(abs(v))) AS BIGINT)"
+
+
+@query(
+    "dp_private_bounds",
+    "WITH x AS (SELECT CAST(l_extendedprice AS DOUBLE) - 30000 AS v FROM lineitem), b AS (SELECT CASE WHEN v = 0 THEN 0 ELSE sign(v) * "
+    f"(least(greatest({_EXPONENT} + CASE WHEN pow(2.0, {_EXPONENT} + 1) <= abs(v) THEN 1 WHEN pow(2.0, {_EXPONENT}) > abs(v) THEN -1 ELSE 0 END, "
+    f"{dp_private.LOWEST}), {dp_private.HIGHEST}) + {1 - dp_private.LOWEST}) END AS bin FROM x), "
+    f"h AS (SELECT k AS bin, count(b.bin) AS n FROM range({-_BINS}, {_BINS + 1}) r(k) LEFT JOIN b ON CAST(b.bin AS BIGINT) = k GROUP BY k), "
+    f"noisy AS (SELECT bin, n + {laplace_sql(uniform_sql('bounds', 'q-bounds', 'bin'), '10.0')} AS c FROM h), "
+    f"kept AS (SELECT bin, sum(c) OVER (ORDER BY bin) AS s, sum(c) OVER () AS a FROM noisy WHERE c >= {_BIN_LIMIT!r}), "
+    f"edges AS (SELECT *, pow(2.0, abs(bin) + {dp_private.LOWEST - 1}) AS e FROM kept) "
+    "SELECT min(CASE WHEN s > 0.01 * a THEN CASE WHEN bin > 0 THEN e WHEN bin < 0 THEN -2 * e ELSE 0 END END) AS lower, "
+    "min(CASE WHEN s >= 0.99 * a THEN CASE WHEN bin > 0 THEN 2 * e WHEN bin < 0 THEN -e ELSE 0 END END) AS upper FROM edges",
+)
+def dp_private_bounds(spark, sf):
+    rows = table(spark, sf, "lineitem").selectExpr("CAST(l_extendedprice AS DOUBLE) - 30000 AS v")
+    return dp_private.private_bounds(rows, "v", SECRET, "q-bounds", 0.1, outside=0.01)
+
+
 @query(
     "dp_filtered_query",
     f"WITH {DEMOGRAPHIC_SQL}, s AS (SELECT count(age) AS n, avg(CAST(least(greatest(age, 0), 120) AS DOUBLE)) AS m "

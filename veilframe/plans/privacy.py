@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import keyed
-from ..operators import checks, dp, dp_private, json_rewrite, ledger, policy, privatize, teams
+from ..operators import checks, dp, dp_private, json_rewrite, ledger, mondrian, policy, privatize, teams
 from ..sources import tables
 from . import budgets
 from .base import (
@@ -161,6 +161,28 @@ def _nulled(spark, sf) -> DataFrame:
     )
 
 
+@query(
+    "k_anonymize_mondrian",
+    f"WITH {PEOPLE_SQL} SELECT id, true AS age_inside, true AS salary_inside, true AS class_reaches_k FROM people",
+)
+def k_anonymize_mondrian(spark, sf):
+    """Every person's own values lie in the ranges shown, and every class of equal ranges has ten rows or more."""
+    rows = people(spark, sf).select("id", "age", "salary", F.col("age").alias("own_age"), F.col("salary").alias("own_salary"))
+    released = mondrian.k_anonymize_mondrian(rows, ["age", "salary"], 10)
+    classes = checks.equivalence_classes(released, ["age", "salary"], 10).select(
+        F.col("age").alias("_age"), F.col("salary").alias("_salary"), "meets_k"
+    )
+
+    def inside(shown: str, own: str):
+        ends = F.split(F.col(shown), " - ")
+        return F.col(own).between(ends[0].cast("double"), F.element_at(ends, -1).cast("double")).alias(f"{shown}_inside")
+
+    same = (F.col("age") == F.col("_age")) & (F.col("salary") == F.col("_salary"))
+    return released.join(classes, same).select(
+        "id", inside("age", "own_age"), inside("salary", "own_salary"), F.col("meets_k").alias("class_reaches_k")
+    )
+
+
 @query(
     "l_diversity",
     f"WITH {PEOPLE_SQL}, s AS ({_NULLED}), c AS (SELECT age, status, count(DISTINCT band) AS d FROM s "

@@ -74,7 +74,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def line_links(lines, max_edits=2, rate=0.05):
+def line_links(lines, max_edits=5, rate=0.05):
     """Pairs of places of distinct lines within the allowed edits."""
     found = set()
     for i, a in enumerate(lines):

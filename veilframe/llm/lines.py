@@ -2,7 +2,7 @@
 
 Lines are cut at line breaks. Two lines are alike when at most k edits turn one into the
 other, with k = min(``max_edits``, ``rate`` * length of the shorter): by default none below
-20 characters, one below 40, else two. Of alike lines the earlier one, by document id and
+20 characters, one below 40, up to five from 100 on. Of alike lines the earlier one, by document id and
 place, stays; links are judged on the input, so a removed line still removes others.
 Blank lines always stay.
 
@@ -37,7 +37,7 @@ from ..operators.ordering import with_position
 from ..session import materialize, scratch_path
 from .common import query, table
 
-MAX_EDITS = 2
+MAX_EDITS = 5
 RATE = 0.05
 _BREAK = "\n"
 _LETTERS = "eantirsohd"  # frequent ones tell most; any ten would do
@@ -314,6 +314,11 @@ def dedup_lines(
 # DuckDB's levenshtein counts bytes: the few non-ASCII characters are first mapped to control characters.
 _BYTES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32), 127])
 _EARLIER = "(a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.place < b.place))"
+# of one part more than edits, one is untouched
+_PARTS = MAX_EDITS + 1
+_SHARED = " OR ".join(
+    f"contains(b.t, substr(a.t, a.n // {_PARTS} * {i} + 1{f', a.n // {_PARTS}' if i < MAX_EDITS else ''}))" for i in range(_PARTS)
+)
 OP3_SQL = f"""
 WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS place FROM doc),
@@ -326,8 +331,7 @@ d AS (SELECT doc_id, place, length(line) AS n, least({MAX_EDITS}, CAST(floor(len
 short AS (SELECT *, unnest(range(k + 1)) AS more FROM d WHERE k > 0),
 pair AS (SELECT a.doc_id AS doc_a, a.place AS place_a, b.doc_id AS doc_b, b.place AS place_b, {_EARLIER} AS a_first
          FROM short a JOIN d b ON b.n = a.n + a.more AND (a.more > 0 OR {_EARLIER})
-         WHERE (contains(b.t, substr(a.t, 1, a.n // 3)) OR contains(b.t, substr(a.t, a.n // 3 + 1, a.n // 3))
-                OR contains(b.t, substr(a.t, a.n // 3 * 2 + 1)))
+         WHERE ({_SHARED})
            AND levenshtein(a.t, b.t) <= a.k),
 near AS (SELECT DISTINCT CASE WHEN a_first THEN doc_b ELSE doc_a END AS doc_id,
                 CASE WHEN a_first THEN place_b ELSE place_a END AS place FROM pair),

@@ -2,7 +2,7 @@
 
 Lines are cut at line breaks. Two lines are alike when at most k edits turn one into the
 other, with k = min(``max_edits``, ``rate`` * length of the shorter): by default none below
-20 characters, one below 40, up to five from 100 on. Of alike lines the earlier one, by document id and
+20 characters, one below 40, else two. Of alike lines the earlier one, by document id and
 place, stays; links are judged on the input, so a removed line still removes others.
 Blank lines always stay.
 
@@ -37,7 +37,7 @@ from ..operators.ordering import with_position
 from ..session import materialize, scratch_path
 from .common import query, table
 
-MAX_EDITS = 5
+MAX_EDITS = 2
 RATE = 0.05
 _BREAK = "\n"
 _LETTERS = "eantirsohd"  # frequent ones tell most; any ten would do

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from veilframe.llm import bpe, prefixes, resample
+from veilframe.llm import bpe, prefixes, resample, topk
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("rank", StringType())])
 TURNS = StructType(
@@ -269,3 +269,14 @@ def test_bpe_columns(spark, both):
 def test_ranks_without_all_bytes_are_refused():
     with pytest.raises(ValueError, match="256"):
         bpe.Vocabulary({b"a": 0})
+
+
+# repeated query ids of the exact search
+
+
+def test_of_repeated_query_ids_the_least_vector_is_asked(many_partitions):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 2.0]), (1, [5.0, 0.0]), (2, [0.0, 5.0])]
+    df = many_partitions.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for n in (1, 3):
+        found = topk.top_k(df.repartition(n), df.where("vec_id = 0").repartition(n + 1), k=2).orderBy("rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 2, 1024 * 5120), (0, 1, 0)]

@@ -214,7 +214,10 @@ def top_k(
     leaf: int = LEAF,
     block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """``query_id``, ``rank`` from 1, ``vec_id`` and integer ``score`` of each query's k best vectors, its own id apart."""
+    """``query_id``, ``rank`` from 1, ``vec_id`` and integer ``score`` of each query's k best vectors, its own id apart.
+
+    Of several queries with one id the one with the least vector, component by component, is asked.
+    """
 
     def ready(df: DataFrame) -> DataFrame:
         kept = df.where(F.col(key).isNotNull() & usable(vector))
@@ -224,7 +227,7 @@ def top_k(
     shards = max(1, -(-rows.count() // shard_rows))
     home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     rows = rows.withColumn("shard", home)
-    asked = ready(queries).dropDuplicates(["id"]).withColumn("shard", home)
+    asked = ready(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("shard", home)
     near = materialize(_search_shards(rows, asked.withColumn("floor", F.lit(None).cast("bigint")), shards, k, leaf, block))
     if shards == 1:
         return _ranked(near, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -4,7 +4,7 @@ A text is cut by a pattern into pieces, and every piece is encoded by itself. A
 is a token is that token. For any other, a table holds for each of its byte prefixes the
 last token of that prefix's encoding, which is unique: a token may follow the last token of
 a shorter prefix only if merging the bytes of the two gives back exactly these two.
-Whether it does is found by the merges themselves and remembered, so the table is filled in
+Whether it does is found by taking the two apart again and remembered, so the table is filled in
 one pass from left to right, and the ids are read off it backwards. Bytes appended to a piece
 extend the table without a look at what stands before the longest token, and cutting the
 piece cuts the table.
@@ -26,7 +26,7 @@ the job.
 from __future__ import annotations
 
 import base64
-from array import array
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import by_row, by_text, query, table, utf8
 
-PIECES = 200_000  # remembered pieces a task
+PIECES = 400_000  # remembered pieces a task
 PIECE_BYTES = 64  # longer pieces are not remembered
 PAIRS = 1_000_000  # remembered pairs of tokens a task
 _ID = np.dtype("<u4")
@@ -59,8 +59,10 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.beginnings = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
+        # what begins a token, with its rank if it is one itself, else -1
+        self.beginnings = {token[:k]: -1 for token in ranks for k in range(1, len(token))} | ranks
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._parts: dict[int, tuple[int, int] | None] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Ids by the merges alone: the adjacent pair of lowest rank first, the left one on ties. For short data."""
@@ -73,17 +75,53 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token`` last; None for a byte or a token that merges do not make."""
+        if token not in self._parts:
+            data, found = self.tokens[token], None
+            pieces = [data[i : i + 1] for i in range(len(data))]
+            while len(pieces) > 1:
+                joins = [(self.ranks[x + y], i) for i, (x, y) in enumerate(zip(pieces, pieces[1:])) if x + y in self.ranks]
+                if not joins:
+                    break
+                _, i = min(joins)
+                if len(pieces) == 2:
+                    found = (self.ranks[pieces[0]], self.ranks[pieces[1]])
+                pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            self._parts[token] = found
+        return self._parts[token]
+
     def follows(self, before: int, token: int) -> bool:
         """Whether ``token`` may stand behind ``before``, or first if that is -1."""
         known = self._pairs.get((before, token))
         if known is None:
-            head = [before] if before >= 0 else []
-            known = self.merged(b"".join(self.tokens[t] for t in head) + self.tokens[token]) == [*head, token]
+            whole = len(self.tokens[token]) == 1 or self.parts(token) is not None
+            known = whole and (before < 0 or not self._joined(before, token))
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[before, token] = known
         return known
 
+    def _joined(self, left: int, right: int) -> bool:
+        """Whether merges join the last part of ``left`` to the first part of ``right`` before both are whole.
+
+        Looked at backwards in time: the later made of the two is taken apart, and the parts now at
+        the border stood side by side until it was made. A join of lower rank came first; so did one of equal rank,
+        unless the other merge stood to its left.
+        """
+        end, ends_left = None, False
+        while True:
+            rank = self.ranks.get(self.tokens[left] + self.tokens[right])
+            if rank is not None and (end is None or rank < end or (rank == end and not ends_left)):
+                return True
+            apart_left, apart_right = self.parts(left), self.parts(right)
+            if apart_left is None and apart_right is None:
+                return False
+            if apart_right is None or (apart_left is not None and left > right):
+                end, ends_left, left = left, True, apart_left[1]
+            else:
+                end, ends_left, right = right, False, apart_right[0]
+
 
 class PrefixTable:
     """The last token of every byte prefix of one piece."""
@@ -91,7 +129,7 @@ class PrefixTable:
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
         self.data = bytearray()
-        self.last = array("q", [-1])  # by length of the prefix
+        self.last = [-1]  # by length of the prefix
         self.append(data)
 
     def append(self, more: bytes) -> None:
@@ -100,15 +138,17 @@ class PrefixTable:
         self.data += more
         size, data = len(self.data), bytes(self.data)
         self.last.extend([-1] * len(more))
-        for start in range(max(0, old - known.longest + 1), size):
-            before = self.last[start]
-            for end in range(start + 1, min(size, start + known.longest) + 1):
-                run = data[start:end]
-                if run not in known.beginnings:
+        last, begun, pairs, longest = self.last, known.beginnings.get, known._pairs.get, known.longest
+        for start in range(max(0, old - longest + 1), size):
+            before = last[start]
+            for end in range(start + 1, min(size, start + longest) + 1):
+                token = begun(data[start:end])
+                if token is None:
                     break
-                token = known.ranks.get(run)
-                if end > old and token is not None and self.last[end] < 0 and known.follows(before, token):
-                    self.last[end] = token
+                if token >= 0 and last[end] < 0 and end > old:
+                    fits = pairs((before, token))
+                    if fits or (fits is None and known.follows(before, token)):
+                        last[end] = token
 
     def cut(self, size: int) -> None:
         """Keep the first ``size`` bytes."""
@@ -138,7 +178,7 @@ class Encoder:
         data = text.encode()
         whole = self.vocabulary.ranks.get(data)
         ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        packed = np.array(ids, _ID).tobytes()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(data) <= PIECE_BYTES:
             if len(self._known) >= PIECES:
                 self._known.clear()

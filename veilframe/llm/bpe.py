@@ -169,7 +169,8 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
-        self.find = regex.compile(pattern).finditer
+        cut = regex.compile(pattern)
+        self.find = (lambda text: [m[0] for m in cut.finditer(text)]) if cut.groups else cut.findall
         self._known: dict[str, bytes] = {}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
 
@@ -187,8 +188,13 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text."""
-        known = self._known.get
-        return b"".join([known(m) or self.piece(m) for m in (found[0] for found in self.find(text)) if m])
+        pieces, known = self.find(text), self._known.get
+        packed = list(map(known, pieces))
+        at = -1
+        for _ in range(packed.count(None)):
+            at = packed.index(None, at + 1)
+            packed[at] = known(pieces[at]) or self.piece(pieces[at])
+        return b"".join(packed)
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for."""

@@ -5,7 +5,7 @@ is a token is that token. For any other, a table holds for each of its byte pref
 last token of that prefix's encoding, which is unique: a token may follow the last token of
 a shorter prefix only if merging the bytes of the two gives back exactly these two.
 Whether it does is found by taking the two apart again and remembered, so the table is filled in
-one pass from left to right, and the ids are read off it backwards. Bytes appended to a piece
+one pass from left to right over the tokens that end at each byte, longest first, and the ids are read off it backwards. Bytes appended to a piece
 extend the table without a look at what stands before the longest token, and cutting the
 piece cuts the table.
 
@@ -29,6 +29,7 @@ import base64
 import struct
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import by_row, by_text, query, table, utf8
 
-PIECES = 400_000  # remembered pieces a task
+PIECES = 300_000  # pieces a task remembers before it begins a new memory; the one before is kept beside it
 PIECE_BYTES = 64  # longer pieces are not remembered
 PAIRS = 1_000_000  # remembered pairs of tokens a task
 _ID = np.dtype("<u4")
@@ -59,8 +60,12 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        # what begins a token, with its rank if it is one itself, else -1
-        self.beginnings = {token[:k]: -1 for token in ranks for k in range(1, len(token))} | ranks
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        # finds the tokens that end at every byte, longest first; a byte counts as the character of its number
+        self.ending = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.ending.add_word(token.decode("latin-1"), (len(token) - 1, rank))
+        self.ending.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
 
@@ -136,19 +141,17 @@ class PrefixTable:
         """Go on with the bytes ``more``; earlier entries stay as they are."""
         old, known = len(self.data), self.vocabulary
         self.data += more
-        size, data = len(self.data), bytes(self.data)
         self.last.extend([-1] * len(more))
-        last, begun, pairs, longest = self.last, known.beginnings.get, known._pairs.get, known.longest
-        for start in range(max(0, old - longest + 1), size):
-            before = last[start]
-            for end in range(start + 1, min(size, start + longest) + 1):
-                token = begun(data[start:end])
-                if token is None:
-                    break
-                if token >= 0 and last[end] < 0 and end > old:
-                    fits = pairs((before, token))
-                    if fits or (fits is None and known.follows(before, token)):
-                        last[end] = token
+        last, pairs, done = self.last, known._pairs.get, old
+        begin = max(0, old - known.longest + 1)
+        for end, (back, token) in known.ending.iter(self.data[begin:].decode("latin-1")):
+            end += begin + 1
+            if end > done:
+                before = last[end - back - 1]
+                fits = pairs((before, token))
+                if fits or (fits is None and known.follows(before, token)):
+                    last[end] = token
+                    done = end
 
     def cut(self, size: int) -> None:
         """Keep the first ``size`` bytes."""
@@ -157,10 +160,11 @@ class PrefixTable:
 
     def ids(self) -> list[int]:
         """Ids of the whole piece, read backwards."""
-        found, end = [], len(self.data)
+        found, end, last, sizes = [], len(self.data), self.last, self.vocabulary.sizes
         while end:
-            found.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
+            token = last[end]
+            found.append(token)
+            end -= sizes[token]
         return found[::-1]
 
 
@@ -172,28 +176,30 @@ class Encoder:
         cut = regex.compile(pattern)
         self.find = (lambda text: [m[0] for m in cut.finditer(text)]) if cut.groups else cut.findall
         self._known: dict[str, bytes] = {}
-        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self._before: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
         """Packed ids of one piece."""
         data = text.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self._before.get(text)
+        if packed is None:
+            whole = self.vocabulary.ranks.get(data)
+            ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(data) <= PIECE_BYTES:
             if len(self._known) >= PIECES:
-                self._known.clear()
+                self._known, self._before = {}, self._known
             self._known[text] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text."""
-        pieces, known = self.find(text), self._known.get
-        packed = list(map(known, pieces))
+        pieces = self.find(text)
+        packed = list(map(self._known.get, pieces))
         at = -1
         for _ in range(packed.count(None)):
             at = packed.index(None, at + 1)
-            packed[at] = known(pieces[at]) or self.piece(pieces[at])
+            packed[at] = self._known.get(pieces[at]) or self.piece(pieces[at])
         return b"".join(packed)
 
     def decode(self, packed: bytes) -> bytes:
@@ -209,7 +215,7 @@ class Encoder:
         end = min(stop + 1, len(text))
         while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
             end += 1
-        ends = np.cumsum([self.sizes[i] for i in np.frombuffer(packed, _ID).tolist()], dtype=np.int64)
+        ends = np.cumsum([self.vocabulary.sizes[i] for i in np.frombuffer(packed, _ID).tolist()], dtype=np.int64)
         head = len(text[:begin].encode())
         tail = head + len(text[begin:end].encode())
         kept, dropped = np.searchsorted(ends, [head, tail], side="right") if len(ends) else (0, 0)

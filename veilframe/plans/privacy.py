@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import keyed
-from ..operators import checks, dp, dp_private, json_rewrite, ledger, mondrian, policy, privatize, teams
+from ..operators import anatomy, checks, dp, dp_private, json_rewrite, ledger, mondrian, policy, privatize, teams
 from ..sources import tables
 from . import budgets
 from .base import (
@@ -208,6 +208,50 @@ def t_closeness(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "t_closeness_ordered",
+    f"WITH {PEOPLE_SQL}, s AS ({_NULLED}), k AS (SELECT * FROM s WHERE age IS NOT NULL AND band IS NOT NULL), "
+    "g AS (SELECT band, count(*) AS n FROM k GROUP BY band), c AS (SELECT age, status, count(*) AS size FROM k GROUP BY age, status), "
+    "p AS (SELECT age, status, band, count(*) AS n FROM k GROUP BY age, status, band), "
+    "e AS (SELECT c.age, c.status, c.size, sum(coalesce(p.n, 0)) OVER w / c.size - sum(g.n) OVER w / (SELECT count(*) FROM k) AS gap "
+    "FROM c CROSS JOIN g LEFT JOIN p ON p.age = c.age AND p.status = c.status AND p.band = g.band "
+    "WINDOW w AS (PARTITION BY c.age, c.status ORDER BY g.band)), "
+    "d AS (SELECT age, status, size, sum(abs(gap)) / greatest((SELECT count(*) FROM g) - 1, 1) AS distance FROM e GROUP BY age, status, size) "
+    "SELECT age, status, size, round(distance, 6) AS distance, distance <= 0.3 AS meets_t FROM d",
+)
+def t_closeness_ordered(spark, sf):
+    found = checks.t_closeness_ordered(_nulled(spark, sf), ["age", "status"], "band", 0.3)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+# dealt round in the order of value and keyed draw, one group for every three rows
+_DEALT_SQL = (
+    f"WITH {PEOPLE_SQL}, dealt AS (SELECT id, status, (row_number() OVER (ORDER BY status, {digest_sql('l_diversify', 'status', 'id')}, id) - 1) "
+    "% (SELECT count(*) // 3 FROM people) AS group_id FROM people) "
+)
+
+
+@query("l_diversify", _DEALT_SQL + "SELECT id, group_id FROM dealt")
+def l_diversify(spark, sf):
+    return anatomy.l_diversify(people(spark, sf).select("id", "status"), "status", 3, "id", SECRET).select("id", "group_id")
+
+
+@query(
+    "l_diversify_check",
+    _DEALT_SQL + "SELECT count(DISTINCT group_id) AS classes, 3 AS l_threshold, CAST(0 AS BIGINT) AS violations_found, "
+    "true AS satisfies_l_diversity FROM dealt",
+)
+def l_diversify_check(spark, sf):
+    """No group of the dealt rows has fewer than three values."""
+    dealt = anatomy.l_diversify(people(spark, sf).select("id", "status"), "status", 3, "id", SECRET)
+    return checks.l_diversity(dealt, ["group_id"], "status", 3)
+
+
+@query("anatomy_values", _DEALT_SQL + "SELECT group_id, status, count(*) AS n FROM dealt GROUP BY group_id, status")
+def anatomy_values(spark, sf):
+    return anatomy.anatomize(people(spark, sf).select("id", "age", "status"), "status", 3, "id", SECRET)[1]
+
+
 @query(
     "utility_metrics",
     _RELEASED + "SELECT count(*) * 9 AS total_values, count(*) AS redacted_values, count(*) * 8 AS preserved_values, "

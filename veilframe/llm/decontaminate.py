@@ -6,8 +6,10 @@ item with fewer words, but at least one, is one window. A document word inside
 any occurrence of a window is hit.
 
 The windows are counted first. Up to ``max_windows`` of them travel as one
-broadcast; a larger benchmark is cut by window hash into parts below that bound,
-each with its own pass over the documents, whose hits are then united.
+broadcast; a larger benchmark is cut by window hash into parts of about that size. Each
+part has a pass of its own over the documents: its hits, one row per different text that is
+hit, are written and its broadcast is released before the next part is read. The hits of all
+parts are then joined to the documents by two hashes of the text.
 
 Defined results: null and empty texts have no words and no hits; benchmark rows
 with a null id or text take no part; repeated items and repeated documents are
@@ -18,12 +20,15 @@ empty tables give no hits or no rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import by_text, map_batches, query, table, utf8
 
 N_WORDS = 10
@@ -122,9 +127,12 @@ class WindowSet:
         return merged, items
 
 
-def _scan(spark: SparkSession, rows: list[tuple[str, bytes]], text: Column) -> Column:
-    shared = spark.sparkContext.broadcast(WindowSet(rows))
+def _share(grams: DataFrame) -> Broadcast:
+    rows = [(r[0], r[1]) for r in grams.collect()]  # at most about max_windows rows
+    return grams.sparkSession.sparkContext.broadcast(WindowSet(rows))
 
+
+def _scan(shared: Broadcast, text: Column) -> Column:
     def make():
         known = shared.value
 
@@ -154,24 +162,35 @@ def find_hits(
     name: str = "hits",
 ) -> DataFrame:
     """Documents with the column ``name``: number of words, hit word ranges (sorted, per part merged) and item ids."""
-    spark = documents.sparkSession
     grams = windows(benchmark, n, item_key, item_text)
     parts = max(1, -(-grams.count() // max_windows))
+    if parts == 1:
+        return documents.withColumn(name, _scan(_share(grams), utf8(text)))
+    grams = materialize(grams)
     part = F.pmod(F.xxhash64("gram"), F.lit(parts))
-    result = documents
+    keys = {"_vf_h1": F.xxhash64(utf8(text)), "_vf_h2": F.xxhash64(F.lit(parts), utf8(text))}
+    texts = documents.select(utf8(text).alias("_vf_text"), *[c.alias(k) for k, c in keys.items()])
+    found = []
     for k in range(parts):
-        rows = [(r[0], r[1]) for r in grams.where(part == k).collect()]  # at most about max_windows rows
-        result = result.withColumn(f"_vf_hits_{k}", _scan(spark, rows, utf8(text)))
-    hits = [F.col(f"_vf_hits_{k}") for k in range(parts)]
-    if parts == 1:
-        return result.withColumn(name, hits[0]).drop("_vf_hits_0")
-    united = F.struct(
-        hits[0]["n_words"].alias("n_words"),
-        F.concat(*[h["starts"] for h in hits]).alias("starts"),
-        F.concat(*[h["ends"] for h in hits]).alias("ends"),
-        F.array_sort(F.array_distinct(F.concat(*[h["items"] for h in hits]))).alias("items"),
+        shared = _share(grams.where(part == k))
+        scanned = texts.select(*keys, _scan(shared, F.col("_vf_text")).alias("_vf_hits"))
+        found.append(materialize(scanned.where(F.size("_vf_hits.starts") > 0).dropDuplicates(list(keys))))
+        shared.unpersist()
+    # a row per text and part
+    united = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.collect_list("_vf_hits").alias("_vf_hits"))
+    words = by_text(lambda: lambda value: len(words_of(value)), "bigint", pa.int64())(utf8(text))
+
+    def put_together(field: str, kind: str) -> Column:
+        return F.coalesce(F.flatten(F.transform("_vf_hits", lambda h: h[field])), F.array().cast(f"array<{kind}>"))
+
+    hits = F.struct(
+        words.alias("n_words"),
+        put_together("starts", "bigint").alias("starts"),
+        put_together("ends", "bigint").alias("ends"),
+        F.array_sort(F.array_distinct(put_together("items", "string"))).alias("items"),
     )
-    return result.withColumn(name, united).drop(*[f"_vf_hits_{k}" for k in range(parts)])
+    joined = documents.withColumns(keys).join(united, list(keys), "left")
+    return joined.withColumn(name, hits).drop(*{*keys, "_vf_hits"} - {name})
 
 
 def n_hit(hits: Column) -> Column:

@@ -243,7 +243,10 @@ def test_decontamination_edges(spark, odd, none):
         assert set(found.columns) == set(odd.columns)
     clean = decontaminate.decontaminate(odd, items)
     assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 3, 4, 5, 5, 8]
+    in_parts = decontaminate.decontaminate(odd, items, max_windows=2)
+    assert in_parts.columns == odd.columns and sorted(r.doc_id for r in in_parts.collect()) == [1, 2, 3, 4, 5, 5, 8]
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(odd, items, drop="spans").collect()}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(odd, items, drop="spans", max_windows=2).collect()} == cut
     assert cut[6] == "p0 p1 p2  p14 p15 p16 p17 p18 p19 " and cut[4] == LONG and cut[1] is None
     assert decontaminate.find_hits(none, items).count() == 0
     assert decontaminate.find_hits(odd, items.limit(0)).where(F.size("hits.items") > 0).count() == 0

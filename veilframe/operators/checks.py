@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,23 @@ def _cells(df: DataFrame, quasi: list[str], sensitive: str) -> DataFrame:
     return materialize(known.groupBy(of_class, F.col(f"`{sensitive}`").alias("_value")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _with_totals(cells: DataFrame, totals: DataFrame, key: str, frequency: str) -> DataFrame:
-    """Cells joined with a table of one row per class or value; frequent keys are split on their number of cells."""
-    rows, cell_rows, text_bytes = totals.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(frequency), F.lit(0)), F.sum(skew.text_size(F.col(key)))
-    ).first()
-    counts = totals.select(key, F.col(frequency).alias("n"))
-    return skew.join_by_value(cells, totals.drop(frequency), key, lambda: counts, cell_rows, rows, text_bytes)
+def _with_totals(cells: DataFrame, **totals: DataFrame) -> DataFrame:
+    """Cells joined with tables of one row per key and ``_n_cells``, given by key; frequent keys are split on their number of cells.
+
+    All tables are measured in one action.
+    """
+    measured = [
+        t.agg(
+            F.lit(key).alias("key"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_n_cells"), F.lit(0)).alias("cells"),
+            F.sum(skew.text_size(F.col(key))).alias("bytes"),
+        )
+        for key, t in totals.items()
+    ]
+    for key, rows, cell_rows, text_bytes in reduce(DataFrame.unionByName, measured).collect():
+        table = totals[key]
+        counts = table.select(key, F.col("_n_cells").alias("n"))
+        cells = skew.join_by_value(cells, table.drop("_n_cells"), key, lambda counts=counts: counts, cell_rows, rows, text_bytes)
+    return cells
 
 
 def _class_sizes(cells: DataFrame) -> DataFrame:
@@ -66,7 +78,7 @@ def t_closeness(df: DataFrame, quasi: list[str], sensitive: str, t: float = 0.2)
     cells = _cells(df, quasi, sensitive)
     overall = cells.groupBy("_value").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("_n_cells"))
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = _with_totals(_with_totals(cells, overall, "_value", "_n_cells"), _class_sizes(cells), "_class", "_n_cells")
+    joined = _with_totals(cells, _value=overall, _class=_class_sizes(cells))
     local, world = F.col("n") / F.col("size"), F.col("all_n") / F.lit(float(max(total, 1)))
     distance = F.lit(0.5) * (F.sum(F.abs(local - world)) + F.lit(1.0) - F.sum(world))
     classes = joined.groupBy("_class").agg(F.max("size").alias("size"), distance.alias("distance"))
@@ -99,7 +111,7 @@ def t_closeness_ordered(df: DataFrame, quasi: list[str], sensitive: str, t: floa
     starts = ranked.groupBy("_class").agg(
         F.sum("n").alias("size"), F.min(F.col("_in_order") - F.col("n")).alias("_start"), F.count(F.lit(1)).alias("_n_cells")
     )
-    joined = _with_totals(_with_totals(ranked, before, "_value", "_n_cells"), starts, "_class", "_n_cells")
+    joined = _with_totals(ranked, _value=before, _class=starts)
     upto = F.col("_in_order") - F.col("_start")
     # a cell ends the stretch of the share before it and begins that of its own: the gaps up to its place count once with either sign
     ends = F.array(

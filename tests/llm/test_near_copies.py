@@ -79,3 +79,44 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert kept.where("doc_id IS NULL").count() == 2
     assert kept.columns == df.columns
     assert nearcopies.near_copies(df.limit(0)).count() == 0
+
+
+def test_candidates_come_from_seeded_fingerprints():
+    found = nearcopies.shingles_of(" ".join(f"w{k}" for k in range(900)).encode())
+    hashes = nearcopies.seeded(found)
+    for seed, value in enumerate(nearcopies.fingerprints_of(found).tolist()):
+        for bit in range(64):
+            ones = sum(h >> bit & 1 for h in hashes[seed].tolist())
+            assert value >> bit & 1 == (2 * ones > len(found))
+
+
+def copies_of_one(n, seed=5):
+    """Near copies of one text, and texts that share most words with it but are below 0.8."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for one in range(n):
+        copy = list(words)
+        for k in rng.sample(range(5, 295), 1 if one % 50 else 8):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        rows.append((one, " ".join(copy)))
+    return rows
+
+
+def test_large_groups_cost_few_pairs_and_lose_no_link(many_partitions, monkeypatch):
+    spark, rows, asked = many_partitions, copies_of_one(300), []
+    exact, across = nearcopies.exact_links, nearcopies.links_across
+
+    def counted(named, values, pairs):
+        asked.append(pairs.count())
+        return exact(named, values, pairs)
+
+    def met(named, values, runs):
+        asked.append(runs.count())
+        return across(named, values, runs)
+
+    monkeypatch.setattr(nearcopies, "exact_links", counted)
+    monkeypatch.setattr(nearcopies, "links_across", met)
+    found = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component for r in found} == smallest_linked(rows)
+    assert len(asked) == 2 and asked[0] < 10 * len(rows) and asked[1] <= 80 * len(rows)  # pairs are 150 a text

@@ -355,9 +355,14 @@ def top_drivers(
     found = scanned.df.select(*order_by, record_drivers(scanned).alias("_drivers"))
     # the outer form: an inner explode would push a filter that scores every record twice
     rows = found.select(*order_by, F.posexplode_outer("_drivers").alias("_pos", "driver"))
+    place = F.struct(*order_by, "_pos")
+    if len(order_by) == 1 and dict(found.dtypes).get(order_by[0]) in _INTEGRAL:
+        # key and position as one number: a least number is kept in a hash table, a least struct sorts all rows
+        key = F.coalesce(F.col(f"`{order_by[0]}`").cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
+        place = key * F.lit(10**6).cast("decimal(7,0)") + F.col("_pos")
     counted = rows.where(F.col("driver").isNotNull()).groupBy("driver").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(*order_by, "_pos")).alias("_first"),
+        F.min(place).alias("_first"),
     )
     return counted.orderBy(F.desc("n"), "_first").limit(limit).select("driver", "n")
 

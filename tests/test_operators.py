@@ -388,3 +388,28 @@ def test_json_keeps_its_shape(spark):
     assert rows[1]["Name"].startswith("Person_") and isinstance(rows[1]["k"], int)
     assert rows[2]["k"] == "free" and rows[2]["list"][1] is None and isinstance(rows[2]["list"][0], int)
     assert isinstance(rows[3]["k"], str) and "inner" not in rows[3]["k"] and rows[3]["empty"] == {}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_drivers_are_kept_in_a_hash_table(spark):
+    rows = [(None, "a@b.org", "x"), (-5, None, "y"), (7, "c@d.org", None), (-5, "e@f.org", "z"), (3, None, "w")]
+    df = spark.createDataFrame(rows, "id bigint, email string, full_name string")
+    found = risk.top_drivers(df, ["id"])
+    assert "SortAggregate" not in _plan(found)
+    columns = ["email", "full_name"]
+    by_struct = risk.top_drivers(df.withColumn("zero", F.lit(0)), ["id", "zero"], columns)
+    assert risk.top_drivers(df, ["id"], columns).collect() == by_struct.collect()
+
+
+def test_values_are_dealt_before_they_are_counted(many_partitions):
+    rows = [(k, "same" if k % 3 else f"v{k}") for k in range(3000)]
+    df = many_partitions.createDataFrame(rows, "id bigint, label string").coalesce(1)
+    found = classify.profile_columns(df)
+    plan = _plan(found)
+    # the first exchange below the counting comes before any table of values
+    scan = plan.rindex("Generate inline")
+    assert "HashAggregate" not in plan[plan.rindex("Exchange hashpartitioning", 0, scan) : scan]
+    assert {r.column: (r.n, r.distinct) for r in found.collect()} == {"id": (3000, 3000), "label": (3000, 1001)}

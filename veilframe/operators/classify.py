@@ -1,9 +1,9 @@
 """Column classification from names, value patterns and uniqueness.
 
 All columns are profiled in one job. In the exact mode equal values are
-counted first, so a pattern is tested once per distinct value, the distinct
-count falls out of the same shuffle, and a value holding a third of all rows
-is combined on the map side. The approximate mode skips that shuffle.
+counted first, after they were dealt by value and turn: no task holds more values
+than its share, and a value holding a third of all rows is counted in several
+tasks. The approximate mode skips that shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from .. import constants as K
 from ..functions import parse
 from ..functions.randomized import is_currency
 
+TURNS = 32  # tasks that count one value
+
+
 def classify_name(name: str) -> tuple[str, str] | None:
     """(type, sensitivity) by column name, or None."""
     for kind, sensitivity, patterns in K.NAME_RULES:
@@ -115,7 +118,11 @@ def profile_columns(
         marked = long_form(df, columns).selectExpr(
             "column", "xxhash64(value) AS h1", "xxhash64(1, value) AS h2", f"{bits} AS bits"
         )
-        counted = marked.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.max("bits").alias("bits"))
+        # dealt by value and turn before they are counted: a task that reads many rows keeps no table of all its values,
+        # and a value that many rows hold is counted in ``TURNS`` tasks first
+        dealt = marked.withColumn("turn", F.pmod(F.monotonically_increasing_id(), F.lit(TURNS)).cast("int"))
+        dealt = dealt.repartition("column", "h1", "h2", "turn")
+        counted = dealt.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.max("bits").alias("bits"))
         stats = counted.groupBy("column").agg(
             F.expr("sum(c) AS n"),
             F.expr("count(1) AS distinct"),

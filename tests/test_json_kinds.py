@@ -61,3 +61,10 @@ def test_stored_documents_that_are_no_objects_keep_their_row(spark):
     found = tables.scan_dataset(stored, "d").orderBy("row_index").collect()
     assert [(r["row_index"], r["a"]) for r in found] == [(0, 1), (1, None), (2, None), (3, None), (4, None)]
     assert tables.scan_dataset(stored, "e").columns == ["row_index"]
+
+
+def test_values_are_read_once_however_often_they_are_used(spark):
+    df = spark.createDataFrame([(1, '{"name": "Bob", "remark": "x"}')], "id bigint, data string")
+    found = json_rewrite.anonymize_json(df, "data", "s", "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$['name']") == 1 and plan.count("$['remark']") == 1

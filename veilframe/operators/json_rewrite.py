@@ -126,15 +126,21 @@ def _member(v: Column, name: str) -> Column:
     return F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), name)
 
 
+def _once(c: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often it stands in the expression."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _document(v: Column, t: T.DataType, secret: str, row_key: Column, key: str, path: str) -> Column:
     """The JSON text of a variant with its values anonymized; null where the variant is absent."""
     located = F.concat(row_key, F.lit(f"|{path}"))
     if isinstance(t, T.StructType):
-        members = []
-        for f in t.fields:
-            child = _member(v, f.name)
-            inner = _document(child, f.dataType, secret, row_key, f.name.lower(), f"{path}.{f.name}")
-            members.append(F.when(child.isNotNull(), F.concat(_quoted(F.lit(f.name)), F.lit(":"), inner)))
+        def member(f: T.StructField) -> Column:
+            label = F.concat(_quoted(F.lit(f.name)), F.lit(":"))
+            below = f.dataType, secret, row_key, f.name.lower(), f"{path}.{f.name}"
+            return _once(_member(v, f.name), lambda x: F.when(x.isNotNull(), F.concat(label, _document(x, *below))))
+
+        members = [member(f) for f in t.fields]
         text = F.concat(F.lit("{"), F.array_join(F.array(*members) if members else F.array().cast("array<string>"), ","), F.lit("}"))
     elif isinstance(t, T.ArrayType):
         items = F.transform(
@@ -146,7 +152,7 @@ def _document(v: Column, t: T.DataType, secret: str, row_key: Column, key: str,
         )
         text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
     elif isinstance(t, T.StringType):
-        text = _quoted(_rewrite_text(F.try_variant_get(v, "$", "string"), key, secret, located))
+        text = _quoted(_once(F.try_variant_get(v, "$", "string"), lambda c: _rewrite_text(c, key, secret, located)))
     elif isinstance(t, T.BooleanType):
         text = pool_noise(F.try_variant_get(v, "$", "boolean").cast("int").cast("double"), key, secret, located).cast("string")
     elif isinstance(t, T.NumericType):
